@@ -11,9 +11,12 @@ from folioforge.llm.bpe import bpe_round_trip
 from folioforge.llm.line_dedup import line_dedup
 from folioforge.llm.mixing import RESULT as MIX_RESULT
 from folioforge.llm.mixing import mix_sources
+from folioforge.llm.ngram_join import ngram_components
 from folioforge.llm.quality_rules import NAMES as QUALITY_NAMES
 from folioforge.llm.quality_rules import quality_rules
 
+from folioforge.llm.suffix_dedup import suffix_dedup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,10 +55,22 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", *MIX_RESULT)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_shingles", "component_id")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {}
