@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import bpe_round_trip
+from folioforge.llm.chat_format import REPLY, exchanges, link_calls
 from folioforge.llm.line_dedup import line_dedup
 from folioforge.llm.mixing import RESULT as MIX_RESULT
 from folioforge.llm.mixing import mix_sources
+from folioforge.llm.multi_index import multi_index_search
 from folioforge.llm.ngram_join import ngram_components
+from folioforge.llm.quality_classifier import quality_classifier
 from folioforge.llm.quality_rules import NAMES as QUALITY_NAMES
 from folioforge.llm.quality_rules import quality_rules
 
+from folioforge.llm.sharding import shard
 from folioforge.llm.suffix_dedup import suffix_dedup
 
 
@@ -51,6 +55,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", *MIX_RESULT)
 
@@ -60,6 +69,22 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    got = link_calls(messages, *exchanges(messages), REPLY)
+    return got.select("conv_id", "turn", "at", "kind", "level", "call_id", "linked", "valid", sha256(F.col("json")).alias("json_sha256"))
+
+
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store, version = shard(docs)
+    return store.read(docs.schema, version).select("doc_id", "lang", "source", "n_chars", sha256(F.col("text")).alias("text_sha256"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -69,8 +94,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
+    "op7_chat_format": op7_chat_format,
+    "op8_multi_index": op8_multi_index,
+    "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL: dict[str, str] = {}
+
+SQL: dict[str, str] = {
+    "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+}
