@@ -22,7 +22,7 @@ def edition_fields(records: DataFrame, key: str = "edition_id", seq: str = "seq"
     """The aggregate row of each edition."""
     kinds = dict(records.dtypes)
     firsts = [c for c in ("publisher", "series", "medium", "physical", "url", "cover_url", "isbn") if c in kinds]
-    unions = [c for c in ("authors", "translators", "evidence", "holdings") if c in kinds]
+    unions = [c for c in ("authors", "translators", "evidence", "holdings") if kinds.get(c, "").startswith("array")]
     known = F.col("language") != "unknown"
     years = F.sort_array(F.collect_set(F.nullif(F.col("year").cast("string"), F.lit(""))))
     out = records.groupBy(key).agg(
