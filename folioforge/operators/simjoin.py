@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import GATE, casefold_trim, core_title, folded, normalize
+from folioforge.shipping import ship
 
 
 def with_tokens(rows: DataFrame, title: str, prefix: str = "") -> DataFrame:
     """Token columns of a title; the UDFs run once for each distinct title."""
+    ship(rows.sparkSession)
     t = rows.select(F.col(title).alias("__t")).where(F.col(title).isNotNull()).distinct()
     core = core_title(F.col("__t"))
     t = t.select(
