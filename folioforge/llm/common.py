@@ -13,15 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.textbytes import U64, mix
+from folioforge.shipping import ship
 
 #: Arrow batches to Python end at this many bytes, so that a run of long texts stays small in memory.
 BATCH_BYTES = 8 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Bound the bytes of an Arrow batch; rows alone (the default bound) say nothing about long texts."""
+    """Ship the package, and bound the bytes of an Arrow batch: rows alone (the default) say nothing about long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
