@@ -63,7 +63,7 @@ def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
                 if len(at):
                     ids[at] = mix(np.add.reduceat(mix(h + U64(0x51ED270B)), np.searchsorted(doc, at)) + n[at].astype(U64))
                 parts = np.bincount(doc * PARTS + (h & U64(PARTS - 1)).astype(np.int64), minlength=(hi - lo) * PARTS)
-                parts = np.minimum(parts, (1 << 31) - 1).astype("<i4")
+                parts = np.minimum(parts, 255).astype(np.uint8)  # a saturated count still bounds the difference from below
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(C.longs(ids)),
                     pa.array([parts[i : i + PARTS].tobytes() for i in range(0, len(parts), PARTS)], pa.binary()),
@@ -149,6 +149,7 @@ def prefix_rows(documents: DataFrame, width: int, percent: int, sketch) -> DataF
 def part_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the symmetric difference of each of ``a`` with each of ``b``, from their parts."""
     out = np.zeros((len(a), len(b)), np.int64)
+    a, b = a.astype(np.int16), b.astype(np.int16)
     for lo in range(0, len(a), 64):
         out[lo : lo + 64] = np.abs(a[lo : lo + 64, None, :] - b[None, :, :]).sum(2, dtype=np.int64)
     return out
@@ -194,7 +195,7 @@ def met(rows: DataFrame, percent: int, linked: DataFrame | None) -> DataFrame:
         now, held = None, []
 
         def block(b: pa.RecordBatch) -> tuple:
-            p = np.frombuffer(b"".join(b.column("parts").to_pylist()), "<i4").reshape(-1, PARTS)
+            p = np.frombuffer(b"".join(b.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
             free = np.zeros(len(p), bool) if first else b.column("free").to_numpy(zero_copy_only=False).astype(bool)
             return b.column("set").to_numpy(), b.column("n").to_numpy(), p, free
 
