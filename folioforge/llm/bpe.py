@@ -37,7 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _S, _N = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 PIECES = re.compile(f"{_S}?{_N}+|{_S}+(?={_S}{_N})|{_S}+").findall
 #: Entries of the two caches of a worker, about 200 bytes each.
-TOKEN_ENTRIES, PIECE_ENTRIES = 700_000, 100_000
+TOKEN_ENTRIES, PIECE_ENTRIES = 250_000, 60_000
 CACHED_CHARS = 48
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
