@@ -62,7 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(clean)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folder = path.rsplit("/", 1)[0]
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._folder)
 
 
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:

@@ -280,16 +280,17 @@ def verified(pairs: DataFrame, segs: DataFrame, percent: int, salts: int) -> Dat
 def components(links: DataFrame) -> DataFrame:
     """(set, label) of all sets in links: the smallest set of the component, by minimum labels and jumping."""
     edges = C.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = C.written(edges.groupBy(F.col("a").alias("set")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    held = labels = C.written(edges.groupBy(F.col("a").alias("set")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = edges.join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("set")).agg(F.min("label").alias("near"))
         nxt = labels.join(near, "set").withColumn("low", F.least("label", "near"))
         up = labels.toDF("low", "up")
         nxt = nxt.join(up, "low", "left").select("set", F.coalesce(F.least("low", "up"), F.col("low")).alias("new"), (F.col("label")).alias("old"))
         nxt = C.written(nxt, "labels")
-        changed = nxt.where("new <> old").limit(1).count()
-        labels = nxt.select("set", F.col("new").alias("label"))
-        if not changed:
+        C.discard(held)
+        held, labels = nxt, nxt.select("set", F.col("new").alias("label"))
+        if nxt.where("new <> old").isEmpty():
+            C.discard(edges)
             return labels
 
 
@@ -308,10 +309,11 @@ def ngram_links(documents: DataFrame, width: int, percent: int, fragments: int,
     # The leader of a token: of its sets the one that meets most others, relative to its size.
     lead = F.struct((-F.col("weight") / F.col("n")).alias("w"), "set")
     rows = C.written(tokens.drop("n").join(sets, "set").select("token", "set", "n", "parts", lead.alias("lead")), "token_sets")
+    C.discard(tokens, sets)
     ordered = rows.repartition("token").sortWithinPartitions("token", "lead").select("token", "set", "n", "parts")
     first = C.written(met(ordered, percent, None), "first_pairs")
-    wanted = first.select(F.col("a").alias("set")).union(first.select("b")).distinct()
-    segs = C.written(segments(texts, C.written(wanted, "wanted"), width, sketch, cuts, log2_bits), "segments")
+    wanted = C.written(first.select(F.col("a").alias("set")).union(first.select("b")).distinct(), "wanted")
+    segs = C.written(segments(texts, wanted, width, sketch, cuts, log2_bits), "segments")
     links = C.written(verified(first, segs, percent, 4), "links")
     # Sets that are not linked to the leader of their token.
     leaders = rows.groupBy("token").agg(F.min("lead").alias("lead"), F.count("*").alias("c")).where("c > 2").select("token", F.col("lead.set").alias("leader"))
@@ -320,10 +322,12 @@ def ngram_links(documents: DataFrame, width: int, percent: int, fragments: int,
     free = free.select("token", "set", "n", "parts", F.col("linked").isNull().alias("free"))
     free = free.withColumn("any", F.max("free").over(Window.partitionBy("token"))).where("any").drop("any").sortWithinPartitions("token")
     second = C.written(met(free, percent, links).join(links, ["a", "b"], "left_anti"), "second_pairs")
-    more = second.select(F.col("a").alias("set")).union(second.select("b")).distinct().join(wanted, "set", "left_anti")
-    more = segments(texts, C.written(more, "wanted_more"), width, sketch, cuts, log2_bits)
-    segs = C.written(segs.unionByName(more), "all_segments")
-    return docs, links.union(verified(second, segs, percent, 4))
+    C.discard(rows, first)
+    more = C.written(second.select(F.col("a").alias("set")).union(second.select("b")).distinct().join(wanted, "set", "left_anti"), "wanted_more")
+    extra = C.written(segments(texts, more, width, sketch, cuts, log2_bits), "more_segments")
+    later = C.written(verified(second, segs.unionByName(extra), percent, 4), "later_links")
+    C.discard(wanted, segs, second, more, extra)
+    return docs, links.union(later)
 
 
 def ngram_join(documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 20, log2_bits: int = 24, one_each: bool = False) -> DataFrame:
