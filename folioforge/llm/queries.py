@@ -103,6 +103,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+_BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 SQL: dict[str, str] = {
+    "op3_line_dedup": f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM t),
+k AS (SELECT *, translate(trim(line, {_BLANKS}), {_LOWER}) AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.doc_id, k.line, k.i, coalesce(k.doc_id <> c.keeper, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op5_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  -ln((('0x' || substr(md5('0:' || doc_id), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
+    / (1.0 / (1.0 + 100.0 * (length(text) - length(translate(text, '#*$%&|<>', ''))) / greatest(length(text), 1))) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+c AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS every, sum(weight) OVER () AS weights,
+  coalesce(sum(3 * source_size) OVER o, 0) AS before, coalesce(sum(weight) OVER o, 0) AS gone FROM s
+  WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (every - before)::DOUBLE / (weights - gone)::DOUBLE AS level, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS n FROM c),
+f AS (SELECT arg_min(level, n) FILTER (cap > weight * level) AS level FROM v),
+p AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * f.level, cap::DOUBLE)) AS target FROM v, f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM p),
+r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN run - size / 2 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
+    "op7_chat_format": """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m WHERE role = 'user'),
+c AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn - 2 * n ORDER BY turn) - 1)::INT AS level FROM u),
+a AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant'),
+x AS (SELECT conv_id, turn, 'message' AS kind, 0 AS level, NULL AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
+    '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}' AS j FROM m
+  UNION ALL SELECT c.conv_id, c.turn, 'call', c.level, c.turn::VARCHAR, a.turn IS NOT NULL, c.text <> '',
+    '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"' || c.turn || '","name":"reply","type":"call"}'
+    FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+  UNION ALL SELECT a.conv_id, a.turn, 'result', 0, (a.turn - 1)::VARCHAR, c.turn IS NOT NULL, NULL,
+    '{"content":' || to_json(a.text) || ',"id":"' || (a.turn - 1) || '","of_turn":' || coalesce(c.turn::VARCHAR, 'null') || ',"type":"result"}'
+    FROM a LEFT JOIN c ON a.conv_id = c.conv_id AND a.turn = c.turn + 1)
+SELECT conv_id, turn, 0 AS at, kind, level, call_id, linked, valid, sha256(j) AS json_sha256 FROM x""",
     "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
