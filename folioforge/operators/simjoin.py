@@ -21,28 +21,35 @@ def with_tokens(rows: DataFrame, title: str, prefix: str = "") -> DataFrame:
     return rows.join(t, rows[title] == t["__t"], "left").drop("__t")
 
 
-def _side(rows: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
-    """(key, tokens, prefix token): enough of the rarest tokens that a match must share one."""
-    each = rows.select(F.col(key).alias("k"), F.col(tokens).alias("t"), F.explode(tokens).alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("k").orderBy("n", "token"))
-    need = F.size("t") - F.ceil(F.lit(threshold) * F.size("t")) + 1
-    return each.join(often, "token").withColumn("p", place).where(F.col("p") <= need).select("k", "t", "token")
+def _tokens(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(k, n, token): the distinct tokens of each row, without the array they come from."""
+    t = F.array_distinct(F.col(tokens))
+    return rows.where(F.size(tokens) > 0).select(F.col(key).alias("k"), F.size(t).alias("n"), F.explode(t).alias("token"))
+
+
+def _prefix(each: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
+    """Enough of each row's rarest tokens that a match must share one."""
+    place = F.row_number().over(Window.partitionBy("k").orderBy("often", "token"))
+    need = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    return each.join(often, "token", "left").withColumn("p", place).where(F.col("p") <= need).select("k", "n", "token")
 
 
 def token_join(left: DataFrame, right: DataFrame, key_l: str, key_r: str, tokens: str, threshold: float = GATE) -> DataFrame:
-    """(l, r, score) of pairs with shared / larger >= threshold.
+    """(l, r, score) of pairs with shared / larger >= threshold; keys are unique in each side.
 
-    Overlap is at least threshold times the larger size, so a pair shares one of the
-    first |t| - ceil(threshold |t|) + 1 tokens of either side; the left side is indexed
-    by those (rarest first), the right by all.
+    The overlap is at least threshold times either size, so in one order of tokens (rarest
+    first) a pair shares one of the first n - ceil(threshold n) + 1 of each side.  Only those
+    meet; candidates of fitting sizes are then counted from the token arrays, joined once.
     """
-    a = _side(left.where(F.size(tokens) > 0), key_l, tokens, threshold)
-    b = right.where(F.size(tokens) > 0).select(F.col(key_r).alias("r"), F.col(tokens).alias("u"), F.explode(tokens).alias("token"))
-    near = (F.size("t") >= threshold * F.size("u") - 1e-9) & (F.size("u") >= threshold * F.size("t") - 1e-9)
+    a, b = _tokens(left, key_l, tokens), _tokens(right, key_r, tokens)
+    often = a.select("token").unionAll(b.select("token")).groupBy("token").agg(F.count("*").alias("often"))
+    x, y = _prefix(a, often, threshold), _prefix(b, often, threshold).toDF("r", "m", "token")
+    fits = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
+    pairs = x.join(y, "token").where(fits).select(F.col("k").alias("l"), "r").distinct()
+    mine = left.select(F.col(key_l).alias("l"), F.array_distinct(F.col(tokens)).alias("t"))
+    other = right.select(F.col(key_r).alias("r"), F.array_distinct(F.col(tokens)).alias("u"))
     score = F.size(F.array_intersect("t", "u")) / F.greatest(F.size("t"), F.size("u"))
-    pairs = a.join(b, "token").where(near).select(F.col("k").alias("l"), "r", score.alias("score")).where(F.col("score") >= threshold)
-    return pairs.distinct()
+    return pairs.join(mine, "l").join(other, "r").select("l", "r", score.alias("score")).where(F.col("score") >= threshold)
 
 
 def title_join(left: DataFrame, right: DataFrame, key_l: str, key_r: str, threshold: float = GATE) -> DataFrame:

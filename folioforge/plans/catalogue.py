@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import dates, isbn, langs, publishers, text
-from folioforge.operators import authors, editions, filters, gates, ledger, simjoin, store, view
+from folioforge.operators import authors, editions, evidence, filters, gates, ledger, simjoin, store, view
 from folioforge.operators.components import by_shared_key, containment_groups
 from folioforge.plans import records as R
 
@@ -205,11 +205,10 @@ def _sql_tokens(column: str) -> str:
     return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({ascii_}), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))))"
 
 
-@query(f"SELECT doc_id, array_to_string({_sql_tokens('substr(text, 1, 80)')}, ' ') AS tokens FROM documents")
+@query(f"SELECT doc_id, array_to_string({_sql_tokens('text')}, ' ') AS tokens FROM documents")
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each document's opening as a title (the first 80 characters are the title here)."""
-    title = F.substring("text", 1, 80)
-    return R.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.normalize(title), " ").alias("tokens"))
+    """The meaningful tokens of each document."""
+    return R.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.normalize("text"), " ").alias("tokens"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name, list_distinct(string_split(p_name, ' ')) AS t FROM part)
@@ -225,14 +224,17 @@ p AS (SELECT a.p_name AS l, b.p_name AS r, len(list_intersect(a.t, b.t)) / great
   WHERE a.p_name <> b.p_name AND len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) >= 0.5)"""
 
 
-@query("""WITH d AS (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 60)), ' ')) AS t FROM documents),
-p AS (SELECT a.doc_id AS l, b.doc_id AS r, len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS score FROM d a, d b WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1),
-k AS (SELECT *, rank() OVER (PARTITION BY l ORDER BY score DESC) AS place FROM p WHERE score >= 0.3)
+_WORDS = "list_distinct(string_split(lower(text), ' '))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents), w AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM d),
+p AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) / greatest(a.n, b.n) AS score FROM w a JOIN w b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+k AS (SELECT *, rank() OVER (PARTITION BY l ORDER BY score DESC) AS place FROM p WHERE score >= 0.6)
 SELECT l, min(r) AS r, min(score) AS score FROM k WHERE place = 1 GROUP BY l HAVING count(*) = 1""")
 def best_match_no_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one best odd document for each even one by the words of their openings."""
-    d = R.table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower(F.substring("text", 1, 60)), " ")).alias("t"))
-    return simjoin.best(simjoin.token_join(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "doc_id", "doc_id", "t", 0.3))
+    """The one best other document of each document by their words."""
+    d = R.table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("t"))
+    return simjoin.best(simjoin.token_join(d, d, "doc_id", "doc_id", "t", 0.6).where("l <> r"))
 
 
 @query(_PAIRS + ", k AS (SELECT *, rank() OVER (PARTITION BY l ORDER BY score DESC) AS place FROM p) SELECT l, r, score FROM k WHERE place = 1")
@@ -245,17 +247,16 @@ def title_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.title_test(title_similarity_join(spark, sf_dir).where("l <> r").withColumnRenamed("r", "form"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 60)), ' ')) AS t FROM documents), b AS (SELECT item_id, list_distinct(string_split(lower(substr(text, 1, 60)), ' ')) AS t FROM benchmark),
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents), b AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
 s AS (SELECT doc_id, max(len(list_intersect(d.t, b.t)) / greatest(len(d.t), len(b.t))) AS affinity FROM d, b GROUP BY doc_id)
-SELECT doc_id, round(affinity, 6) AS affinity, CASE WHEN doc_id % 11 = 0 THEN 'uniform title' WHEN doc_id % 13 = 0 THEN 'isbn' WHEN affinity >= 0.6 THEN 'title match' END AS reason FROM s""")
+SELECT doc_id, CASE WHEN affinity >= 0.6 THEN round(affinity, 6) END AS affinity, CASE WHEN doc_id % 11 = 0 THEN 'uniform title' WHEN doc_id % 13 = 0 THEN 'isbn' WHEN affinity >= 0.6 THEN 'title match' END AS reason FROM s""")
 def title_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a document is admitted against a fixed set of 40 to 200 known titles (checked before it is broadcast)."""
-    words = F.array_distinct(F.split(F.lower(F.substring("text", 1, 60)), " "))
+    """Why each document is admitted against the known texts of ``benchmark``; affinities under 0.6 are null."""
+    words = F.array_distinct(F.split(F.lower("text"), " "))
     docs = R.table(spark, sf_dir, "documents").select("doc_id", words.alias("t"))
-    known = R.table(spark, sf_dir, "benchmark").select("item_id", words.alias("u"))
-    pairs = docs.withColumn("w", F.explode("t")).join(known.withColumn("w", F.explode("u")), "w")
-    score = pairs.groupBy("doc_id").agg(F.max(text.overlap(F.col("t"), F.col("u"))).alias("affinity"))
-    out = docs.select("doc_id").join(score, "doc_id", "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
+    known = R.table(spark, sf_dir, "benchmark").select("item_id", words.alias("t"))
+    score = simjoin.token_join(docs, known, "doc_id", "item_id", "t", 0.6).groupBy(F.col("l").alias("doc_id")).agg(F.max("score").alias("affinity"))
+    out = docs.select("doc_id").join(score, "doc_id", "left")
     reason = gates.identifies(F.col("doc_id") % 11 == 0, F.col("doc_id") % 13 == 0, F.col("affinity"))
     return out.select("doc_id", F.round("affinity", 6).alias("affinity"), reason.alias("reason"))
 
@@ -288,12 +289,12 @@ def same_person_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_groups(names.withColumn("t", F.slice(F.array_sort(F.array_distinct(F.split("p_name", " "))), 1, 2)), "p_name", "t")
 
 
-@query("""WITH b AS (SELECT user_id % 200 AS ask, user_id AS book, count(DISTINCT event_type) AS sources, count(*) AS editions FROM events WHERE event_id % 7 < 2 GROUP BY ALL),
+@query("""WITH b AS (SELECT event_id // 6 AS ask, user_id AS book, count(DISTINCT event_type) AS sources, count(*) AS editions FROM events GROUP BY ALL),
 w AS (SELECT *, count(*) OVER p AS books, count(*) FILTER (sources >= 2) OVER p AS several, count(*) FILTER (sources < 2 AND editions > 1) OVER p AS odd FROM b WINDOW p AS (PARTITION BY ask))
 SELECT ask, book, sources, editions FROM w WHERE books = 1 OR (several = 1 AND odd = 0 AND sources >= 2)""")
 def adopted_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = R.table(spark, sf_dir, "events").where("event_id % 7 < 2")
-    books = e.groupBy((F.col("user_id") % 200).alias("ask"), F.col("user_id").alias("book")).agg(F.count_distinct("event_type").alias("sources"), F.count("*").alias("editions"))
+    e = R.table(spark, sf_dir, "events")
+    books = e.groupBy(F.floor(F.col("event_id") / 6).alias("ask"), F.col("user_id").alias("book")).agg(F.count_distinct("event_type").alias("sources"), F.count("*").alias("editions"))
     return gates.adopted_book(books, "ask", "sources", "editions")
 
 
@@ -387,12 +388,11 @@ def language_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang", "code").agg(F.count("*").alias("n")).withColumn("name", langs.display(F.col("code")))
 
 
-@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Жизнь и судьба ' || substr(text, 1, doc_id % 20) ELSE substr(text, 1, 30) END AS t FROM documents)
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Жизнь и судьба ' || source ELSE text END AS t FROM documents)
 SELECT doc_id, length(regexp_replace(t, '[^\\p{Cyrillic}\\p{Greek}]', '', 'g')) > length(regexp_replace(t, '[^\\p{Latin}]', '', 'g')) AS contradicts,
   NOT regexp_matches(t, '\\p{Cyrillic}') AS latin FROM d""")
 def script_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opening = F.expr("substr(text, 1, cast(doc_id % 20 as int))")
-    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Жизнь и судьба "), opening)).otherwise(F.substring("text", 1, 30))
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Жизнь и судьба "), "source")).otherwise(F.col("text"))
     return R.table(spark, sf_dir, "documents").select("doc_id", text.script_contradicts(t).alias("contradicts"), text.is_latin(t).alias("latin"))
 
 
@@ -406,10 +406,10 @@ def author_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", text.author_display(F.col("n")).alias("display"), text.surname(F.col("n")).alias("surname"))
 
 
-@query("""WITH d AS (SELECT lower(trim(split_part(split_part(text, chr(10), 1), '.', 1))) AS title, doc_id FROM documents)
+@query("""WITH d AS (SELECT sha256(lower(trim(text))) AS title, doc_id FROM documents)
 SELECT title, count(*) AS records FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY title""")
 def unlinked_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = R.table(spark, sf_dir, "documents").select("doc_id", F.trim(F.substring_index(F.substring_index("text", "\n", 1), ".", 1)).alias("t"))
+    d = R.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("t"))
     linked = R.table(spark, sf_dir, "labels").select("doc_id")
     return authors.unlinked(d, linked, linked, "doc_id", F.col("t"))
 
@@ -423,12 +423,12 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.ledger_lines(counts, {"view": "seen", "click": "opened"})
 
 
-@query("""WITH r AS (SELECT doc_id AS id, (doc_id * 37 % 100) / 100.0::DOUBLE AS score, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 1900 + doc_id % 120 END AS year, CASE WHEN doc_id % 2 = 0 THEN 'swept' ELSE 'matched' END AS band FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH r AS (SELECT doc_id AS id, (doc_id * 37 % 100) / 100.0::DOUBLE AS score, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 1900 + doc_id % 120 END AS year, CASE WHEN doc_id % 2 = 0 THEN 'swept' ELSE 'matched' END AS band FROM documents)
 SELECT id, score::DOUBLE AS score, year, band, row_number() OVER (PARTITION BY band ORDER BY score DESC, year IS NULL, year DESC, id)::INT AS place FROM r""")
 def loose_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     rows = R.table(spark, sf_dir, "documents").select(
-        i.alias("id"), ((i * 37 % 100) / 100.0).alias("score"), F.when(i % 6 == 0, None).otherwise(i % 120 + 1900).alias("year"), (i % 3 == 0).alias("refused"),
+        i.alias("id"), ((i * 37 % 100) / 100.0).alias("score"), F.when(i % 6 == 0, None).otherwise(i % 120 + 1900).alias("year"), F.lit(True).alias("refused"),
     )
     return view.loose_band(rows, F.when(F.col("id") % 2 == 0, "swept").otherwise("matched")).drop("refused")
 
@@ -520,3 +520,70 @@ def store_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     shops = [(n, f"https://example.org/{n}?q=") for n in ("one", "two")]
     rows = R.table(spark, sf_dir, "part").select(code.alias("isbn"))
     return rows.select("isbn", F.inline(isbn.links(F.col("isbn"), shops)))
+
+
+# People, labels and wording ---------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT DISTINCT event_id // 4 AS ask, event_id % 3 AS form, event_type AS id, CASE WHEN event_type = 'view' AND event_id % 5 = 0 THEN 1 WHEN event_id % 4 = 0 AND event_id % 6 <> 0 THEN 2 ELSE 3 END AS rule FROM events),
+n AS (SELECT *, count(*) OVER (PARTITION BY ask, form) AS people, count(*) OVER (PARTITION BY ask, form, rule) AS k FROM r)
+SELECT ask, first(id ORDER BY form, rule) AS id, first(form ORDER BY form, rule) AS form, first(rule ORDER BY form, rule)::INT AS rule FROM n WHERE k = 1 AND (rule < 3 OR people = 1) GROUP BY ask""")
+def pick_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    rows = R.table(spark, sf_dir, "events").withColumns({"ask": F.floor(i / 4), "form": i % 3, "id": F.col("event_type")})
+    return evidence.pick_authority(rows, "ask", "form", (F.col("event_type") == "view") & (i % 5 == 0), i % 4 == 0, i % 6 == 0)
+
+
+@query("""WITH p AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_name DESC)::INT AS place FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT * FROM p WHERE place <= 3""")
+def closest_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = R.table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("score"), F.col("c_name").alias("title"))
+    return evidence.closest(c, "c_nationkey").drop("score", "title")
+
+
+@query("SELECT l_suppkey, count(DISTINCT l_partkey) AS items, count(DISTINCT l_partkey) >= 50 AS capped FROM lineitem GROUP BY l_suppkey")
+def facet_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.capped(R.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey")
+
+
+@query("""SELECT o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus || '|' || year(o_orderdate) ELSE o_orderkey::VARCHAR END AS entry,
+  min(o_orderstatus) AS medium, min(year(o_orderdate))::INT AS year, count(*) AS records FROM orders GROUP BY 1, 2""")
+def derived_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = R.table(spark, sf_dir, "orders").select(
+        "o_custkey", F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("medium"), F.year("o_orderdate").alias("year"),
+        (F.col("o_orderstatus") != "F").alias("stated"), F.lit(1).alias("records"),
+    )
+    return evidence.derived(o, "o_custkey")
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1900 + p_partkey % 100 END AS y, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS l, CASE WHEN p_partkey % 5 <> 0 THEN 1990 END AS f FROM part)
+SELECT p_partkey, CASE WHEN y IS NOT NULL AND l IS NOT NULL THEN 'first published in ' || l || ', ' || y WHEN y IS NOT NULL THEN 'first published ' || y
+  WHEN l IS NOT NULL THEN 'originally in ' || l WHEN f IS NOT NULL THEN 'earliest edition found: ' || f END AS phrase FROM p""")
+def origin_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    y, lang, seen = F.when(k % 2 == 0, k % 100 + 1900), F.when(k % 3 == 0, F.col("p_brand")), F.when(k % 5 != 0, F.lit(1990))
+    return R.table(spark, sf_dir, "part").select("p_partkey", evidence.origin_phrase(y, lang, seen).alias("phrase"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 <> 0 THEN 'unknown' WHEN doc_id % 3 = 0 THEN 'srp' ELSE 'ita' END AS language FROM documents""")
+def place_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    title = F.when(i % 4 == 0, "Жизнь и судьба").otherwise("Vita e destino")
+    rows = R.table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.when(i % 3 == 0, "srp").otherwise("ita").alias("language"))
+    return evidence.place_language(rows, "title", "language")[0].select("doc_id", "language")
+
+
+@query("""SELECT n_name, count(*) AS failed, CASE WHEN count(*) = 1 THEN '1 request failed' ELSE count(*) || ' requests failed' END || '; the list may be incomplete' AS note
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 GROUP BY n_name""")
+def incomplete_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = R.table(spark, sf_dir, "customer").where("c_acctbal < 0"), R.table(spark, sf_dir, "nation")
+    failed = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("failed"))
+    return failed.withColumn("note", evidence.incomplete(F.col("failed")))
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey, o_orderpriority AS p FROM orders), l AS (SELECT o_custkey, list_sort(list(p)) AS ps FROM s GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN len(ps) > 1 THEN array_to_string(ps[1:len(ps) - 1], ', ') || ' and ' || ps[len(ps)] ELSE ps[1] END AS names FROM l""")
+def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = R.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ps"))
+    return o.select("o_custkey", evidence.listed(F.col("ps")).alias("names"))
+
