@@ -40,6 +40,8 @@ from folioforge.llm import common as C
 from folioforge.llm.textbytes import U64, blocks, mix, shingle_sets
 
 PARTS = 64
+#: Counters of the sketch that travel in one row.
+CHUNK = 1 << 16
 RESULT = ["n_shingles", "component_id"]
 
 
@@ -52,11 +54,11 @@ def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
     """A row for each document, (doc_id, row, n, set, parts), and the sketch of document frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << sketch_bits, np.int64)
+        sketch = np.zeros(1 << sketch_bits, np.uint32)
         for batch in batches:
             for lo, hi, buf, offsets in blocks(batch.column(2)):
                 h, doc = shingle_sets(buf, offsets, width)
-                sketch += np.bincount((h >> U64(64 - sketch_bits)).astype(np.int64), minlength=1 << sketch_bits)
+                np.add.at(sketch, (h >> U64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
                 n = np.bincount(doc, minlength=hi - lo)
                 ids = np.zeros(hi - lo, U64)
                 at = np.flatnonzero(n)
@@ -69,12 +71,12 @@ def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
                     pa.array([parts[i : i + PARTS].tobytes() for i in range(0, len(parts), PARTS)], pa.binary()),
                     pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary()),
                 ], names=names)
-        step = 1 << 14
-        for k in range(0, len(sketch), step):
-            if sketch[k : k + step].any():
+        sketch = np.minimum(sketch, 65535).astype(np.uint16)  # an order needs no more of what one task saw
+        for k in range(0, len(sketch), CHUNK):
+            if sketch[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([
                     pa.nulls(1, id_arrow), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()),
-                    pa.array([k // step], pa.int32()), pa.array([C.packed(sketch[k : k + step])], pa.binary()),
+                    pa.array([k // CHUNK], pa.int32()), pa.array([C.packed(sketch[k : k + CHUNK])], pa.binary()),
                 ], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -90,7 +92,7 @@ def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(C.unpacked(x).tobytes(), np.int64)
+                part = np.frombuffer(C.unpacked(x).tobytes(), np.uint16).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([C.packed(x)], pa.binary())], names=["chunk", "counts"])
@@ -99,8 +101,8 @@ def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
     chunks = both.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary")
     for r in chunks.toLocalIterator():
         x = np.frombuffer(C.unpacked(r["counts"]).tobytes(), np.int64)
-        sketch[r["chunk"] << 14 : (r["chunk"] << 14) + len(x)] = x
-    return both.where("chunk is null").drop("chunk", "counts"), sketch
+        sketch[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(x)] = x
+    return both.where("chunk is null").drop("chunk", "counts"), np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)
 
 
 def order_keys(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -113,7 +115,7 @@ def order_keys(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 def pivots(sketch: np.ndarray, fragments: int) -> np.ndarray:
     """Frequencies that cut the global order into fragments of about as many n-grams."""
     order = np.argsort(sketch, kind="stable")
-    mass = np.cumsum(sketch[order])
+    mass = np.cumsum(sketch[order], dtype=np.int64)
     if not mass[-1]:
         return np.zeros(0, U64)
     at = np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments)
@@ -330,12 +332,12 @@ def ngram_links(documents: DataFrame, width: int, percent: int, fragments: int,
     return docs, links.union(later)
 
 
-def ngram_join(documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 20, log2_bits: int = 24, one_each: bool = False) -> DataFrame:
+def ngram_join(documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 22, log2_bits: int = 24, one_each: bool = False) -> DataFrame:
     """``documents`` with ``n_shingles`` and ``component_id`` (the smallest id that links reach).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of
     n-grams of ``width`` words.  ``sketch_bits`` and ``log2_bits`` set the fixed sizes
-    of what is broadcast: 2**20 counters and a filter of 2**24 bits.  ``one_each``
+    of what is broadcast: 2**22 counters and a filter of 2**24 bits.  ``one_each``
     keeps one row, of the smallest id, of each component.
     """
     keep = [c for c in documents.columns if c not in RESULT]
@@ -349,7 +351,7 @@ def ngram_join(documents: DataFrame, width: int = 3, percent: int = 90, fragment
 
 
 def ngram_components(
-    documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 20, log2_bits: int = 24,
+    documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 22, log2_bits: int = 24,
 ) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, first) of each document, without its other columns.
 
