@@ -10,10 +10,10 @@ segment by segment, and the counts summed for each pair.
 2. Two sets with the asked similarity share an n-gram among the first of each in
    the order (prefix filter), so sets meet at such n-grams.
 3. At each shared n-gram one set leads; the others are compared with the leader only.
-   Sets linked to their leader are in one component, so pairs among them are not
-   looked at.  A set that isn't linked to its leader is compared with all others
-   there, by the numbers of n-grams that each has in 64 parts of the hash space: these
-   bound the symmetric difference from below, and few unlinked pairs pass.
+   Their links make components, and pairs inside one are not looked at.  Sets of
+   different components are compared by the numbers of n-grams that each has in 64
+   parts of the hash space: these bound the symmetric difference from below, and few
+   unlinked pairs pass.
 4. Every pair that passes is counted exactly, fragment by fragment.
 5. Components by repeated minimum labels with pointer jumping.
 
@@ -157,14 +157,12 @@ def part_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def met(rows: DataFrame, percent: int, linked: DataFrame | None) -> DataFrame:
+def met(rows: DataFrame, percent: int, first: bool) -> DataFrame:
     """Pairs (a, b) of sets that meet at a token and pass the bound.
 
-    Without ``linked``: leaders with the others, a = leader.  With ``linked`` (the
-    sets linked to the leader of their token): pairs of which one isn't linked to it.
-    Rows come sorted by token, in batches; a token's rows are taken in blocks.
+    ``first``: leaders with the others, a = leader.  Else pairs whose components,
+    column ``label``, differ.  Rows come sorted by token; a token's rows are taken in blocks.
     """
-    first = linked is None
     width = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,25 +179,24 @@ def met(rows: DataFrame, percent: int, linked: DataFrame | None) -> DataFrame:
                             yield pairs(np.repeat(lead[0], ok.sum()), s[ok])
                 continue
             blocks_ = list(token_rows)
-            for i, (s, n, p, free) in enumerate(blocks_):
-                for s2, n2, p2, free2 in blocks_[i:]:
-                    if not (free.any() or free2.any()):
+            for i, (s, n, p, label) in enumerate(blocks_):
+                for s2, n2, p2, label2 in blocks_[i:]:
+                    apart = label[:, None] != label2[None, :]
+                    if not apart.any():
                         continue
-                    ok = part_bound(p, p2) <= max_difference(n[:, None], n2[None, :], percent)
-                    ok &= (free[:, None] | free2[None, :]) & (s[:, None] != s2[None, :])
+                    ok = apart & (part_bound(p, p2) <= max_difference(n[:, None], n2[None, :], percent))
                     x, y = np.nonzero(ok)
                     if len(x):
                         a, b = np.minimum(s[x], s2[y]), np.maximum(s[x], s2[y])
                         yield pairs(a, b)
 
     def by_token(batches: Iterator[pa.RecordBatch]):
-        """For each token an iterator of blocks (set, n, parts, free) of up to ``width`` rows."""
+        """For each token an iterator of blocks (set, n, parts, label) of up to ``width`` rows."""
         now, held = None, []
 
         def block(b: pa.RecordBatch) -> tuple:
             p = np.frombuffer(b"".join(b.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
-            free = np.zeros(len(p), bool) if first else b.column("free").to_numpy(zero_copy_only=False).astype(bool)
-            return b.column("set").to_numpy(), b.column("n").to_numpy(), p, free
+            return b.column("set").to_numpy(), b.column("n").to_numpy(), p, b.column("set" if first else "label").to_numpy()
 
         for batch in batches:
             t = batch.column("token").to_numpy()
@@ -313,17 +310,18 @@ def ngram_links(documents: DataFrame, width: int, percent: int, fragments: int,
     rows = C.written(tokens.drop("n").join(sets, "set").select("token", "set", "n", "parts", lead.alias("lead")), "token_sets")
     C.discard(tokens, sets)
     ordered = rows.repartition("token").sortWithinPartitions("token", "lead").select("token", "set", "n", "parts")
-    first = C.written(met(ordered, percent, None), "first_pairs")
+    first = C.written(met(ordered, percent, True), "first_pairs")
     wanted = C.written(first.select(F.col("a").alias("set")).union(first.select("b")).distinct(), "wanted")
     segs = C.written(segments(texts, wanted, width, sketch, cuts, log2_bits), "segments")
     links = C.written(verified(first, segs, percent, 4), "links")
-    # Sets that are not linked to the leader of their token.
-    leaders = rows.groupBy("token").agg(F.min("lead").alias("lead"), F.count("*").alias("c")).where("c > 2").select("token", F.col("lead.set").alias("leader"))
-    known = links.withColumn("linked", F.lit(True))
-    free = rows.join(leaders, "token").where(F.col("set") != F.col("leader")).join(known.toDF("leader", "set", "linked"), ["leader", "set"], "left")
-    free = free.select("token", "set", "n", "parts", F.col("linked").isNull().alias("free"))
-    free = free.withColumn("any", F.max("free").over(Window.partitionBy("token"))).where("any").drop("any").sortWithinPartitions("token")
-    second = C.written(met(free, percent, links).join(links, ["a", "b"], "left_anti"), "second_pairs")
+    # Of the rest only pairs that the leaders' links don't join already.
+    labels = components(links)
+    apart = rows.join(labels, "set", "left").select("token", "set", "n", "parts", F.coalesce("label", "set").alias("label"))
+    every = Window.partitionBy("token")
+    apart = apart.withColumns({"low": F.min("label").over(every), "high": F.max("label").over(every)}).where("low <> high")
+    apart = apart.select("token", "set", "n", "parts", "label").sortWithinPartitions("token")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = C.written(met(apart, percent, False).join(tried, ["a", "b"], "left_anti"), "second_pairs")
     C.discard(rows, first)
     more = C.written(second.select(F.col("a").alias("set")).union(second.select("b")).distinct().join(wanted, "set", "left_anti"), "wanted_more")
     extra = C.written(segments(texts, more, width, sketch, cuts, log2_bits), "more_segments")
