@@ -169,8 +169,8 @@ def bpe_round_trip(documents: DataFrame, vocabulary: str, decode: bool = True) -
     shared = spark.sparkContext.broadcast(spec)
     name = f"{spark.sparkContext.applicationId}:{vocabulary}"
     names = ["ids", *["decoded"] * decode]
-    keep = [c for c in documents.columns if c not in names]
-    where = keep.index("text")
+    cols = C.Carried(documents, names)
+    where = cols.at("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         coder = coder_of(name, shared)
@@ -182,7 +182,6 @@ def bpe_round_trip(documents: DataFrame, vocabulary: str, decode: bool = True) -
             got = {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
             if decode:
                 got["decoded"] = pa.array(map(coder.decode, ids), pa.binary()).cast(pa.string())
-            yield {c: part.column(i) for i, c in enumerate(keep)} | got
+            yield cols.batch(part) | got
 
-    ddl = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return C.arrow_map(documents.select(*[f"`{c}`" for c in keep]), run, f"{ddl}, ids array<int>" + ", decoded string" * decode)
+    return cols.named(C.arrow_map(cols.frame, run, cols.schema("ids array<int>" + ", decoded string" * decode)), names)

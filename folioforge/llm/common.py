@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioforge.llm.textbytes import U64, mix
 from folioforge.shipping import ship
@@ -26,16 +29,16 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, one of our own, if driver and executors are one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if now.isDefined():
-            return now.get()
-        found = tempfile.mkdtemp(prefix="folioforge-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
+    return jsc.getCheckpointDir().get()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -73,13 +76,11 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._folder)
 
 
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for a function that gives dicts of columns (or batches) for one input batch."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     prepared(df.sparkSession)
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,6 +91,43 @@ def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict | pa
     return df.mapInArrow(run, schema)
 
 
+class Carried:
+    """The columns of a table on their way through an operator, under names of their own (c0, c1, ...).
+
+    So neither dots, blanks, backticks nor repeats in the names of other columns
+    matter.  Columns named as a result (in any case, as Spark compares names) go.
+    """
+
+    def __init__(self, table: DataFrame, results: Iterable[str]):
+        replaced = {r.lower() for r in results}
+        kept = [(i, n) for i, n in enumerate(table.columns) if n.lower() not in replaced]
+        self.columns, self.names = [f"c{i}" for i, _ in kept], [n for _, n in kept]
+        self.frame = table.toDF(*[f"c{i}" for i in range(len(table.columns))]).select(*self.columns)
+        self.fields = list(self.frame.schema)
+
+    def __getstate__(self) -> dict:
+        return {"columns": self.columns, "names": self.names}  # what workers need
+
+    def at(self, name: str) -> int:
+        """The place of an input column among those kept."""
+        exact = [i for i, n in enumerate(self.names) if n == name]
+        return (exact or [i for i, n in enumerate(self.names) if n.lower() == name.lower()])[0]
+
+    def __getitem__(self, name: str) -> str:
+        return self.columns[self.at(name)]
+
+    def batch(self, batch: pa.RecordBatch, lo: int = 0, n: int | None = None) -> dict:
+        """The kept columns of rows of a batch that begins with them."""
+        return {c: batch.column(i).slice(lo, n) for i, c in enumerate(self.columns)}
+
+    def schema(self, results: str) -> T.StructType:
+        return T.StructType([*self.fields, *T.StructType.fromDDL(results)])
+
+    def named(self, df: DataFrame, results: list[str]) -> DataFrame:
+        """The kept columns under their names again, then the results."""
+        return df.select(*self.columns, *results).toDF(*self.names, *results)
+
+
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((columns[f.name], f) for f in schema)]
     return pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)

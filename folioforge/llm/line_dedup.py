@@ -9,8 +9,9 @@ a repeat, so the result is exact at any fill; a fuller filter only shuffles more
 Defined results: a null text has one empty line and stays null; an empty text has
 one empty line.  Rows with one ``doc_id`` count as one document, and null ids as
 one document that comes before all others.  Identical rows get identical results.
+Very long texts are blocks of their own; a document's own dropped places are one list.
 An empty table gives an empty table.  Result columns replace input columns of the
-same name; every other column passes through.
+same name, in any case; every other column passes through under any name.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.llm import common as C
-from folioforge.llm.textbytes import IS_BLANK, LOWER, U64, PrefixHash, blocks, mix
+from folioforge.llm.textbytes import IS_BLANK, LOWER, blocks, span_hashes
 
 BLANKS = b" \t\n\v\f\r"
 _LOWER = bytes(LOWER)
+RESULT = ["n_lines", "n_dropped"]
 
 
 def line_keys(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +44,7 @@ def line_keys(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.
     solid = np.flatnonzero(~IS_BLANK[buf])
     if not len(solid) or not len(starts):
         none = np.zeros(0, np.int64)
-        return none.view(U64), none, none, none
+        return none.view(np.uint64), none, none, none
     first = np.searchsorted(solid, starts)
     last = np.searchsorted(solid, ends) - 1
     full = first <= last
@@ -51,12 +53,11 @@ def line_keys(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.
     np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
     long = points[b] - points[a] >= min_chars
     a, b = a[long], b[long]
-    h = mix(PrefixHash(LOWER[buf])(a, b) + (b - a).astype(U64))
-    return h, np.searchsorted(offsets, a, "right") - 1, a, b
+    return span_hashes(LOWER[buf], a, b), np.searchsorted(offsets, a, "right") - 1, a, b
 
 
 def distinct_in_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Indices of the first line of each (document, key)."""
+    """Indices of the first line of each (document, hash)."""
     order = np.lexsort((np.arange(len(h)), h, doc))
     keep = np.ones(len(h), bool)
     keep[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
@@ -94,8 +95,11 @@ def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, log
     filters: 2**27 bits are 16 MB each, on the driver and in a worker.
     """
     spark = C.prepared(documents.sparkSession)
-    row = F.xxhash64("doc_id", "text")
-    seen = twice_seen(documents.select("text"), min_chars, log2_bits, probes)
+    cols = C.Carried(documents, RESULT)
+    doc_id, text = cols["doc_id"], cols["text"]
+    row = F.xxhash64(doc_id, text)
+    slim = cols.frame.select(F.col(doc_id).alias("doc_id"), row.alias("row"), F.col(text).alias("text"))
+    seen = twice_seen(slim.select("text"), min_chars, log2_bits, probes)
     shared = spark.sparkContext.broadcast(seen)
 
     def suspects(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -103,30 +107,29 @@ def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, log
         for lo, _, buf, offsets in blocks(batch.column(2)):
             h, doc, a, b = line_keys(buf, offsets, min_chars)
             hit = np.flatnonzero(C.bloom_has(shared.value, h, log2_bits, probes))
-            hit = hit[distinct_in_doc(h[hit], doc[hit])]
             if not len(hit):
                 continue
             low = LOWER[buf]
-            keys = [low[x:y].tobytes().decode() for x, y in zip(a[hit], b[hit], strict=True)]
+            keys = [low[x:y].tobytes() for x, y in zip(a[hit], b[hit], strict=True)]
+            first = list(dict(zip(zip(doc[hit].tolist(), keys, strict=True), range(len(hit)), strict=True)).values())  # a key once a document
+            hit, keys = hit[first], [keys[i].decode() for i in first]
             at = pa.array(doc[hit] + lo)
             yield {"doc_id": ids.take(at), "row": rows.take(at), "at": (a[hit] - offsets[doc[hit]]), "key": keys}
 
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    found = C.written(C.arrow_map(documents.select("doc_id", row.alias("row"), "text"), suspects, f"doc_id {id_type}, row long, at long, key string"), "suspects")
+    id_type = T.StructField("doc_id", slim.schema["doc_id"].dataType)
+    schema = T.StructType([id_type, *T.StructType.fromDDL("row long, at long, key string")])
+    found = C.written(C.arrow_map(slim, suspects, schema), "suspects")
     kept = found.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
     kept = C.written(kept.where(F.col("docs") >= min_docs).select("key", "keeper"), "confirmed")
     drops = (
         found.join(kept, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("at").alias("__drops"))
+        .groupBy(F.col("doc_id").alias("id"), F.col("row").alias("row")).agg(F.collect_set("at").alias("drops"))
     )
-    joined = documents.withColumn("__hash", row).join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row")), "left")
-    keep = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    fields = [documents.schema[c] for c in keep]
-    out = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    where = keep.index("text")
+    joined = cols.frame.withColumn("hash", row).join(drops, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row")), "left")
+    where = cols.at("text")
 
     def rebuild(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts, drops = batch.column(where).cast(pa.binary()).to_pylist(), batch.column(len(keep)).to_pylist()
+        texts, drops = batch.column(where).cast(pa.binary()).to_pylist(), batch.column(len(cols.columns)).to_pylist()
         new, n_lines, n_dropped = [], [], []
         for text, at in zip(texts, drops, strict=True):
             n_lines.append((text or b"").count(b"\n") + 1)
@@ -139,8 +142,6 @@ def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, log
                 text = b"\n".join(x for x, k in zip(lines, keys, strict=True) if k not in gone)
                 n_dropped[-1] = sum(k in gone for k in keys)
             new.append(text)
-        cols = {c: batch.column(i) for i, c in enumerate(keep)}
-        yield cols | {"text": pa.array(new, pa.binary()).cast(pa.string()), "n_lines": n_lines, "n_dropped": n_dropped}
+        yield cols.batch(batch) | {cols.columns[where]: pa.array(new, pa.binary()).cast(pa.string()), "n_lines": n_lines, "n_dropped": n_dropped}
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
-    return C.arrow_map(joined.select(*[F.col(f"`{c}`") for c in keep], "__drops"), rebuild, ddl)
+    return cols.named(C.arrow_map(joined.select(*cols.columns, "drops"), rebuild, cols.schema("n_lines long, n_dropped long")), RESULT)

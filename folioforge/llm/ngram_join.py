@@ -11,20 +11,27 @@ segment by segment, and the counts summed for each pair.
    the order (prefix filter), so sets meet at such n-grams.
 3. At each shared n-gram one set leads; the others are compared with the leader only.
    Their links make components, and pairs inside one are not looked at.  Sets of
-   different components are compared by the numbers of n-grams that each has in 64
-   parts of the hash space: these bound the symmetric difference from below, and few
-   unlinked pairs pass.
+   different components that meet are compared by their parities: a set's n-grams
+   fall into some 1.5 bins an n-gram, and a bit says whether a bin holds an odd
+   number.  Bits that differ bound the symmetric difference from below and nearly
+   reach it, so few unlinked pairs pass.  An n-gram at which very many sets meet is
+   split into pairs of blocks of its sets, each a key of its own.
 4. Every pair that passes is counted exactly, fragment by fragment.
 5. Components by repeated minimum labels with pointer jumping.
 
 Nothing is capped: the bound in 3 drops only pairs that can't be linked.
 
+A set is known by a 64-bit number; a second one tells if two sets have the same, and
+then these are numbered anew, so sets are equal if 128 bits are.
+
 Defined results: words are runs of non-blank characters with A-Z lower-cased; a
 text of fewer words than ``width`` is one n-gram; a text without words (null, empty,
 blank) has no n-grams, is linked with nothing and is its own component.  Repeated
 rows link with each other.  A null id is in the component of its links, null if it
-has none with an id.  An empty table gives an empty table; result columns replace
-input columns of the same name.
+has none with an id.  A very long text is hashed as a whole, in a block of its own.
+Ties in the order of n-grams go into the prefix together.  An empty table gives an
+empty table; result columns replace input columns of the same name, in any case;
+other columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -35,13 +42,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioforge.llm import common as C
-from folioforge.llm.textbytes import U64, blocks, mix, shingle_sets
+from folioforge.llm.textbytes import U64, blocks, flat, mix, shingle_sets
 
-PARTS = 64
 #: Counters of the sketch that travel in one row.
 CHUNK = 1 << 16
+#: Sets with one number and different second ones that may be numbered anew (about 100 are expected in 5e10 sets).
+MOST_RENUMBERED = 100_000
+#: Bins of a parity: about 1.5 an n-gram, a power of two within these bounds.
+LEAST_BINS, MOST_BINS = 128, 4096
+#: Pairs that are compared at a time.
+PAIRS = 1 << 17
 RESULT = ["n_shingles", "component_id"]
 
 
@@ -50,43 +64,70 @@ def max_difference(n_a, n_b, percent: int):
     return (100 - percent) * (n_a + n_b) // (100 + percent)
 
 
-def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFrame, np.ndarray]:
-    """A row for each document, (doc_id, row, n, set, parts), and the sketch of document frequencies."""
+def numbered(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers of each set, from its n-gram hashes (sets are runs of ``h``)."""
+    return tuple(mix(np.add.reduceat(mix(h + U64(seed)), begin) + n.astype(U64)) for seed in (0x51ED270B, 0x7C3A9E15B4D26F81))
+
+
+class Shingles:
+    """The sets of a block's documents: hashes, and of each non-empty set its document, begin, size and number."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, width: int, renumbered: np.ndarray):
+        self.h, self.owner = shingle_sets(buf, offsets, width)
+        self.per_doc = np.bincount(self.owner, minlength=len(offsets) - 1)
+        self.doc = np.flatnonzero(self.per_doc)
+        self.n = self.per_doc[self.doc]
+        self.begin = np.searchsorted(self.owner, self.doc)
+        self.ids, self.check = numbered(self.h, self.begin, self.n) if len(self.doc) else (np.zeros(0, U64), np.zeros(0, U64))
+        if len(renumbered):
+            self.ids = np.where(np.isin(self.ids, renumbered), self.check, self.ids)
+
+
+def bins_of(n: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(1.5 * np.maximum(n, 1))).astype(np.int64), LEAST_BINS, MOST_BINS)
+
+
+def parities(sets: Shingles) -> list[bytes]:
+    """Each set's bits: bin i (the low bits of a hash) holds an odd number of n-grams."""
+    bins = bins_of(sets.n)
+    start = np.cumsum(bins) - bins
+    at = np.repeat(start, sets.n) + (sets.h & np.repeat(bins - 1, sets.n).astype(U64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(bins.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [odd[a : a + b].tobytes() for a, b in zip((start // 8).tolist(), (bins // 8).tolist(), strict=True)]
+
+
+def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """A row for each document, (doc_id, row, n, set, parity); the sketch of document frequencies; the renumbered sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << sketch_bits, np.uint32)
         for batch in batches:
             for lo, hi, buf, offsets in blocks(batch.column(2)):
-                h, doc = shingle_sets(buf, offsets, width)
-                np.add.at(sketch, (h >> U64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
-                n = np.bincount(doc, minlength=hi - lo)
-                ids = np.zeros(hi - lo, U64)
-                at = np.flatnonzero(n)
-                if len(at):
-                    ids[at] = mix(np.add.reduceat(mix(h + U64(0x51ED270B)), np.searchsorted(doc, at)) + n[at].astype(U64))
-                parts = np.bincount(doc * PARTS + (h & U64(PARTS - 1)).astype(np.int64), minlength=(hi - lo) * PARTS)
-                parts = np.minimum(parts, 255).astype(np.uint8)  # a saturated count still bounds the difference from below
+                sets = Shingles(buf, offsets, width, np.zeros(0, U64))
+                np.add.at(sketch, (sets.h >> U64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
+                ids, check = np.zeros((2, hi - lo), U64)
+                ids[sets.doc], check[sets.doc] = sets.ids, sets.check
+                parity = [None] * (hi - lo)
+                for d, x in zip(sets.doc.tolist(), parities(sets), strict=True):
+                    parity[d] = x
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(C.longs(ids)),
-                    pa.array([parts[i : i + PARTS].tobytes() for i in range(0, len(parts), PARTS)], pa.binary()),
-                    pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary()),
+                    batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sets.per_doc, pa.int64()), pa.array(C.longs(ids)),
+                    pa.array(C.longs(check)), pa.array(parity, pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary()),
                 ], names=names)
         sketch = np.minimum(sketch, 65535).astype(np.uint16)  # an order needs no more of what one task saw
         for k in range(0, len(sketch), CHUNK):
             if sketch[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(1, id_arrow), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()),
+                    pa.nulls(1, id_arrow), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()),
                     pa.array([k // CHUNK], pa.int32()), pa.array([C.packed(sketch[k : k + CHUNK])], pa.binary()),
                 ], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    names = ["doc_id", "row", "n", "set", "parts", "chunk", "counts"]
     id_type = documents.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
+    schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("row long, n long, set long, check long, parity binary, chunk int, counts binary")])
+    names = schema.names
     C.prepared(documents.sparkSession)
-    ddl = f"doc_id {id_type.simpleString()}, row long, n long, set long, parts binary, chunk int, counts binary"
-    both = C.written(documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, ddl), "sets")
+    both = C.written(documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, schema), "sets")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -102,7 +143,14 @@ def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
     for r in chunks.toLocalIterator():
         x = np.frombuffer(C.unpacked(r["counts"]).tobytes(), np.int64)
         sketch[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(x)] = x
-    return both.where("chunk is null").drop("chunk", "counts"), np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)
+    rows = both.where("chunk is null").drop("chunk", "counts")
+    shared = rows.where("n > 0").groupBy("set").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("set")
+    again = [r["set"] for r in shared.limit(MOST_RENUMBERED + 1).collect()]
+    if len(again) > MOST_RENUMBERED:
+        raise RuntimeError(f"over {MOST_RENUMBERED} sets share their number")
+    if again:
+        rows = rows.withColumn("set", F.when(F.col("set").isin(again), F.col("check")).otherwise(F.col("set")))
+    return rows.drop("check"), np.minimum(sketch, (1 << 32) - 1).astype(np.uint32), np.array(again, np.int64).view(U64)
 
 
 def order_keys(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -123,146 +171,193 @@ def pivots(sketch: np.ndarray, fragments: int) -> np.ndarray:
     return (often << U64(40)) | ((order[at].astype(U64) << U64(64 - (int(len(sketch)).bit_length() - 1))) >> U64(24))
 
 
-def prefix_rows(documents: DataFrame, width: int, percent: int, sketch) -> DataFrame:
+def prefix_rows(documents: DataFrame, width: int, percent: int, sketch, renumbered: np.ndarray) -> DataFrame:
     """(token, set, n): the n-grams of each set at which a linked set must be met."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for lo, hi, buf, offsets in blocks(batch.column(0)):
-            h, doc = shingle_sets(buf, offsets, width)
-            if not len(h):
+        for _, _, buf, offsets in blocks(batch.column(0)):
+            sets = Shingles(buf, offsets, width, renumbered)
+            if not len(sets.h):
                 continue
-            n = np.bincount(doc, minlength=hi - lo)
-            at = np.flatnonzero(n)
-            begin = np.searchsorted(doc, at)
-            ids = mix(np.add.reduceat(mix(h + U64(0x51ED270B)), begin) + n[at].astype(U64))
-            keys = order_keys(h, sketch.value)
-            first = n - -(-percent * n // 100) + 1
-            out_h, sizes = [], first[at]
-            for i, (b, d) in enumerate(zip(begin.tolist(), at.tolist(), strict=True)):
-                own, k = h[b : b + n[d]], keys[b : b + n[d]]
-                own = own[k <= np.partition(k, sizes[i] - 1)[sizes[i] - 1]]  # equal places count as one
+            keys = order_keys(sets.h, sketch.value)
+            sizes = sets.n - -(-percent * sets.n // 100) + 1
+            out_h = []
+            for i, (b, n, first) in enumerate(zip(sets.begin.tolist(), sets.n.tolist(), sizes.tolist(), strict=True)):
+                own, k = sets.h[b : b + n], keys[b : b + n]
+                own = own[k <= np.partition(k, first - 1)[first - 1]]  # equal places count as one
                 sizes[i] = len(own)
                 out_h.append(own)
-            yield {"token": C.longs(np.concatenate(out_h)), "set": C.longs(np.repeat(ids, sizes)), "n": np.repeat(n[at], sizes)}
+            yield {"token": C.longs(np.concatenate(out_h)), "set": C.longs(np.repeat(sets.ids, sizes)), "n": np.repeat(sets.n, sizes)}
 
     return C.arrow_map(documents.select("text"), run, "token long, set long, n long")
 
 
-def part_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A lower bound of the symmetric difference of each of ``a`` with each of ``b``, from their parts."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    a, b = a.astype(np.int16), b.astype(np.int16)
-    for lo in range(0, len(a), 64):
-        out[lo : lo + 64] = np.abs(a[lo : lo + 64, None, :] - b[None, :, :]).sum(2, dtype=np.int64)
-    return out
+class Met:
+    """Rows of sets at tokens, sorted by token: columns, and the words of their parities."""
+
+    def __init__(self, key: np.ndarray, set_: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, words: np.ndarray, start: np.ndarray):
+        self.key, self.set, self.n, self.label, self.side, self.words, self.start = key, set_, n, label, side, words, start
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Met:
+        data, offsets = flat(batch.column("parity"))
+        words = data[offsets[0] : offsets[-1]].copy().view(np.uint64)
+        key = np.stack([batch.column(x).to_numpy() for x in ("token", "low", "high")], 1)
+        return cls(key, *(batch.column(x).to_numpy() for x in ("set", "n", "label", "side")), words, (offsets - offsets[0]) // 8)
+
+    def __len__(self) -> int:
+        return len(self.set)
+
+    def slice(self, lo: int, hi: int) -> Met:
+        start = self.start[lo : hi + 1]
+        cols = (x[lo:hi] for x in (self.key, self.set, self.n, self.label, self.side))
+        return Met(*cols, self.words[start[0] : start[-1]], start - start[0])
+
+    def after(self, other: Met) -> Met:
+        cols = (np.concatenate([x, y]) for x, y in zip((other.key, other.set, other.n, other.label, other.side, other.words), (self.key, self.set, self.n, self.label, self.side, self.words), strict=True))
+        return Met(*cols, np.concatenate([other.start, self.start[1:] + other.start[-1]]))
+
+    def cuts(self) -> np.ndarray:
+        """The begins of the runs of rows of one key, and the end."""
+        return np.concatenate([[0], np.flatnonzero((self.key[1:] != self.key[:-1]).any(1)) + 1, [len(self)]])
+
+    def bits(self, rows: np.ndarray, bins: int) -> np.ndarray:
+        """The parities of rows that all have so many words, folded to ``bins`` words."""
+        size = int(self.start[rows[0] + 1] - self.start[rows[0]])
+        x = self.words[self.start[rows][:, None] + np.arange(size)]
+        while x.shape[1] > bins:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        return x
+
+    def close(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets of rows x and y may be linked, by sizes and parities."""
+        most = max_difference(self.n[x], self.n[y], percent)
+        ok = np.abs(self.n[x] - self.n[y]) <= most
+        size = np.diff(self.start)
+        go = np.flatnonzero(ok)
+        kinds = size[x[go]] * (MOST_BINS + 1) + size[y[go]]
+        for kind in np.unique(kinds):
+            at = go[kinds == kind]
+            bins = int(min(size[x[at[0]]], size[y[at[0]]]))
+            differ = np.bitwise_count(self.bits(x[at], bins) ^ self.bits(y[at], bins)).sum(1, dtype=np.int64)
+            ok[at] = differ <= most[at]
+        return ok
+
+
+def leaders_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): the leader of a token, its first row, with each other set that may be linked to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            met = Met.of(batch)
+            met = met if last is None else met.after(last)
+            cuts = met.cuts()
+            lead = np.repeat(cuts[:-1], np.diff(cuts))
+            other = np.flatnonzero(met.set != met.set[lead])
+            last = met.slice(int(cuts[-2]), int(cuts[-2]) + 1)  # its token may go on in the next batch
+            for lo in range(0, len(other), PAIRS):
+                y = other[lo : lo + PAIRS]
+                x = lead[y]
+                ok = met.close(x, y, percent)
+                yield pair_rows(met.set[x[ok]], met.set[y[ok]])
 
+    C.prepared(rows.sparkSession)
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-def met(rows: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Pairs (a, b) of sets that meet at a token and pass the bound.
 
-    ``first``: leaders with the others, a = leader.  Else pairs whose components,
-    column ``label``, differ.  Rows come sorted by token; a token's rows are taken in blocks.
-    """
-    width = 512
+def later_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of sets of different labels that meet under a key (of different sides, if the key has two) and may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token_rows in by_token(batches):
-            if first:
-                lead = None
-                for s, n, p, _ in token_rows:
-                    if lead is None:
-                        lead = s[:1], n[:1], p[:1]
-                        s, n, p = s[1:], n[1:], p[1:]
-                    if len(s):
-                        ok = part_bound(lead[2], p)[0] <= max_difference(lead[1][0], n, percent)
-                        if ok.any():
-                            yield pairs(np.repeat(lead[0], ok.sum()), s[ok])
-                continue
-            blocks_ = list(token_rows)
-            for i, (s, n, p, label) in enumerate(blocks_):
-                for s2, n2, p2, label2 in blocks_[i:]:
-                    apart = label[:, None] != label2[None, :]
-                    if not apart.any():
-                        continue
-                    ok = apart & (part_bound(p, p2) <= max_difference(n[:, None], n2[None, :], percent))
-                    x, y = np.nonzero(ok)
-                    if len(x):
-                        a, b = np.minimum(s[x], s2[y]), np.maximum(s[x], s2[y])
-                        yield pairs(a, b)
-
-    def by_token(batches: Iterator[pa.RecordBatch]):
-        """For each token an iterator of blocks (set, n, parts, label) of up to ``width`` rows."""
-        now, held = None, []
-
-        def block(b: pa.RecordBatch) -> tuple:
-            p = np.frombuffer(b"".join(b.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
-            return b.column("set").to_numpy(), b.column("n").to_numpy(), p, b.column("set" if first else "label").to_numpy()
-
+        held = None
         for batch in batches:
-            t = batch.column("token").to_numpy()
-            cuts = np.flatnonzero(np.diff(t)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)], strict=True):
-                if t[lo] != now:
-                    if len(held) > 1 or held and len(held[0][0]) > 1:
-                        yield iter(held)
-                    now, held = t[lo], []
-                held += [block(batch.slice(k, min(width, hi - k))) for k in range(lo, hi, width)]
-        if len(held) > 1 or held and len(held[0][0]) > 1:
-            yield iter(held)
-
-    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            met = Met.of(batch)
+            met = met if held is None else met.after(held)
+            end = int(met.cuts()[-2])
+            held = met.slice(end, len(met))
+            yield from pairs(met.slice(0, end))
+        if held is not None:
+            yield from pairs(held)
+
+    def pairs(met: Met) -> Iterator[pa.RecordBatch]:
+        cuts = met.cuts()
+        if len(met):
+            low, high = np.minimum.reduceat(met.label, cuts[:-1]), np.maximum.reduceat(met.label, cuts[:-1])
+        ends = np.repeat(cuts[1:], np.diff(cuts))
+        more = ends - np.arange(len(met)) - 1  # rows after each under its key
+        if len(met):
+            more[np.repeat(low == high, np.diff(cuts))] = 0
+        before = np.cumsum(more) - more
+        for lo in range(0, int(more.sum()), PAIRS):
+            k = np.arange(lo, min(lo + PAIRS, int(more.sum())))
+            x = np.searchsorted(before, k, "right") - 1
+            y = x + 1 + k - before[x]
+            cross = (met.key[x, 1] == met.key[x, 2]) | (met.side[x] != met.side[y])
+            ok = np.flatnonzero((met.label[x] != met.label[y]) & cross)
+            ok = ok[met.close(x[ok], y[ok], percent)]
+            yield pair_rows(np.minimum(met.set[x[ok]], met.set[y[ok]]), np.maximum(met.set[x[ok]], met.set[y[ok]]))
 
     C.prepared(rows.sparkSession)
-    found = rows.mapInArrow(run, "a long, b long")
-    return found.distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def segments(documents: DataFrame, wanted: DataFrame, width: int, sketch, cuts, log2_bits: int) -> DataFrame:
+def pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+
+def segments(documents: DataFrame, wanted: DataFrame, width: int, sketch, renumbered: np.ndarray, cuts, log2_bits: int) -> DataFrame:
     """(set, fragment, n, grams) of the wanted sets; a Bloom filter of them spares the others the shuffle."""
     bits = documents.sparkSession.sparkContext.broadcast(C.bloom_build(wanted.select("set"), log2_bits, 4))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for lo, hi, buf, offsets in blocks(batch.column(0)):
-            h, doc = shingle_sets(buf, offsets, width)
-            n = np.bincount(doc, minlength=hi - lo)
-            at = np.flatnonzero(n)
-            if not len(at):
-                continue
-            begin = np.searchsorted(doc, at)
-            ids = mix(np.add.reduceat(mix(h + U64(0x51ED270B)), begin) + n[at].astype(U64))
-            for i in np.flatnonzero(C.bloom_has(bits.value, ids, log2_bits, 4)).tolist():
-                own = h[begin[i] : begin[i] + n[at[i]]]
+        for _, _, buf, offsets in blocks(batch.column(0)):
+            sets = Shingles(buf, offsets, width, renumbered)
+            for i in np.flatnonzero(C.bloom_has(bits.value, sets.ids, log2_bits, 4)).tolist():
+                n = int(sets.n[i])
+                own = sets.h[sets.begin[i] : sets.begin[i] + n]
                 frag = np.searchsorted(cuts.value, order_keys(own, sketch.value), "right")
                 which = np.unique(frag)
                 grams = [own[frag == f].tobytes() for f in which]
-                yield {"set": C.longs(np.repeat(ids[i], len(which))), "fragment": which, "n": np.repeat(n[at[i]], len(which)), "grams": grams}
+                yield {"set": C.longs(np.repeat(sets.ids[i], len(which))), "fragment": which, "n": np.repeat(n, len(which)), "grams": grams}
 
     found = C.arrow_map(documents.select("text"), run, "set long, fragment int, n long, grams binary")
     return found.dropDuplicates(["set", "fragment"]).join(wanted, "set", "left_semi")
 
 
-def verified(pairs: DataFrame, segs: DataFrame, percent: int, salts: int) -> DataFrame:
+def verified(pairs: DataFrame, segs: DataFrame, percent: int, partners: int = 1024) -> DataFrame:
     """The pairs that are linked: overlaps counted for each fragment, then summed.
 
-    In a fragment a left segment is sent once to each of ``salts`` places and its
-    partners are dealt among these, so a set with many partners isn't one task's.
+    A left segment is sent once to each of its places, one for about ``partners``
+    partners, which are dealt among these, so a set with many isn't one task's.
     """
-    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-    left = pairs.select("a", salt.alias("salt")).distinct().join(segs.withColumnRenamed("set", "a"), "a")
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(partners)).alias("places"))
+    pairs = pairs.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), "places").cast("int").alias("salt"))
+    left = pairs.select("a", "salt").distinct().join(segs.withColumnRenamed("set", "a"), "a")
     left = left.select("a", "salt", "fragment", F.lit(None).cast("long").alias("b"), "grams")
-    right = pairs.withColumn("salt", salt).join(segs.withColumnRenamed("set", "b"), "b").select("a", "salt", "fragment", "b", "grams")
+    right = pairs.join(segs.withColumnRenamed("set", "b"), "b").select("a", "salt", "fragment", "b", "grams")
     both = left.unionByName(right).repartition("a", "salt", "fragment").sortWithinPartitions("a", "salt", "fragment", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, None
         for batch in batches:
             out_a, out_b, out_n = [], [], []
-            for a, salt, f, b, grams in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            data, offsets = flat(batch.column(4))
+            for i, (a, salt, f, b) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+                grams = data[offsets[i] : offsets[i + 1]]
                 if b is None:
-                    key, own = (a, salt, f), np.frombuffer(grams, np.uint64)
+                    key, own = (a, salt, f), grams.copy().view(np.uint64)
                 elif (a, salt, f) == key:
-                    other = np.frombuffer(grams, np.uint64)
+                    other = grams.copy().view(np.uint64)
                     at = np.minimum(np.searchsorted(own, other), len(own) - 1)
                     out_a.append(a)
                     out_b.append(b)
@@ -293,44 +388,61 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def ngram_links(documents: DataFrame, width: int, percent: int, fragments: int, sketch_bits: int, log2_bits: int) -> tuple[DataFrame, DataFrame]:
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with the key (token, low, high): a token of over four blocks of sets is split into all pairs of its blocks."""
+    crowded = rows.groupBy("token").count().where(F.col("count") > 4 * block)
+    crowded = C.written(crowded.select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "crowded")
+    zero = F.lit(0)
+    if crowded.isEmpty():
+        return rows.withColumns({"low": zero, "high": zero, "side": zero})
+    found = rows.join(crowded, "token", "left").withColumn("own", F.pmod(F.xxhash64("set"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    found = found.withColumn("other", F.explode(F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return found.withColumns({"low": low, "high": high, "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
+
+
+def ngram_links(
+    documents: DataFrame, width: int, percent: int, fragments: int, sketch_bits: int, log2_bits: int, block: int,
+) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row, n, set) of all documents, and the links (a, b) that make their sets' components."""
     spark = C.prepared(documents.sparkSession)
     texts = documents.select("doc_id", "text")
-    docs, counts = set_rows(texts, width, sketch_bits)
+    docs, counts, renumbered = set_rows(texts, width, sketch_bits)
     sketch = spark.sparkContext.broadcast(counts)
     cuts = spark.sparkContext.broadcast(pivots(counts, fragments))
-    placed = prefix_rows(texts, width, percent, sketch).repartition("token").dropDuplicates(["token", "set"])
+    placed = prefix_rows(texts, width, percent, sketch, renumbered).repartition("token").dropDuplicates(["token", "set"])
     placed = placed.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
     tokens = C.written(placed, "tokens")
     weight = tokens.groupBy("set").agg(F.count("*").alias("weight"), F.max("n").alias("n"))
-    sets = C.written(docs.where("n > 0").groupBy("set").agg(F.first("parts").alias("parts")).join(weight, "set"), "met_sets")
+    sets = C.written(docs.where("n > 0").groupBy("set").agg(F.first("parity").alias("parity")).join(weight, "set"), "met_sets")
     # The leader of a token: of its sets the one that meets most others, relative to its size.
     lead = F.struct((-F.col("weight") / F.col("n")).alias("w"), "set")
-    rows = C.written(tokens.drop("n").join(sets, "set").select("token", "set", "n", "parts", lead.alias("lead")), "token_sets")
+    zero = F.lit(0)
+    rows = C.written(tokens.drop("n").join(sets, "set").select("token", "set", "n", "parity", lead.alias("lead")), "token_sets")
     C.discard(tokens, sets)
-    ordered = rows.repartition("token").sortWithinPartitions("token", "lead").select("token", "set", "n", "parts")
-    first = C.written(met(ordered, percent, True), "first_pairs")
+    ordered = rows.repartition("token").sortWithinPartitions("token", "lead")
+    ordered = ordered.select("token", zero.alias("low"), zero.alias("high"), "set", "n", F.col("set").alias("label"), zero.alias("side"), "parity")
+    first = C.written(leaders_pairs(ordered, percent), "first_pairs")
     wanted = C.written(first.select(F.col("a").alias("set")).union(first.select("b")).distinct(), "wanted")
-    segs = C.written(segments(texts, wanted, width, sketch, cuts, log2_bits), "segments")
-    links = C.written(verified(first, segs, percent, 4), "links")
+    segs = C.written(segments(texts, wanted, width, sketch, renumbered, cuts, log2_bits), "segments")
+    links = C.written(verified(first, segs, percent), "links")
     # Of the rest only pairs that the leaders' links don't join already.
     labels = components(links)
-    apart = rows.join(labels, "set", "left").select("token", "set", "n", "parts", F.coalesce("label", "set").alias("label"))
-    every = Window.partitionBy("token")
-    apart = apart.withColumns({"low": F.min("label").over(every), "high": F.max("label").over(every)}).where("low <> high")
-    apart = apart.select("token", "set", "n", "parts", "label").sortWithinPartitions("token")
+    apart = rows.join(labels, "set", "left").select("token", "set", "n", "parity", F.coalesce("label", "set").alias("label"))
+    apart = dealt(apart, block).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = C.written(met(apart, percent, False).join(tried, ["a", "b"], "left_anti"), "second_pairs")
+    second = C.written(later_pairs(apart, percent).join(tried, ["a", "b"], "left_anti"), "second_pairs")
     C.discard(rows, first)
     more = C.written(second.select(F.col("a").alias("set")).union(second.select("b")).distinct().join(wanted, "set", "left_anti"), "wanted_more")
-    extra = C.written(segments(texts, more, width, sketch, cuts, log2_bits), "more_segments")
-    later = C.written(verified(second, segs.unionByName(extra), percent, 4), "later_links")
+    extra = C.written(segments(texts, more, width, sketch, renumbered, cuts, log2_bits), "more_segments")
+    later = C.written(verified(second, segs.unionByName(extra), percent), "later_links")
     C.discard(wanted, segs, second, more, extra)
     return docs, links.union(later)
 
 
-def ngram_join(documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 22, log2_bits: int = 24, one_each: bool = False) -> DataFrame:
+def ngram_join(
+    documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 22, log2_bits: int = 24, block: int = 1024, one_each: bool = False,
+) -> DataFrame:
     """``documents`` with ``n_shingles`` and ``component_id`` (the smallest id that links reach).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of
@@ -338,24 +450,25 @@ def ngram_join(documents: DataFrame, width: int = 3, percent: int = 90, fragment
     of what is broadcast: 2**22 counters and a filter of 2**24 bits.  ``one_each``
     keeps one row, of the smallest id, of each component.
     """
-    keep = [c for c in documents.columns if c not in RESULT]
-    found = ngram_components(documents, width, percent, fragments, sketch_bits, log2_bits)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), *RESULT, F.col("first").alias("__first")).dropDuplicates(["__id", "__row"])
-    named = documents.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__hash", F.xxhash64("doc_id", "text"))
-    out = named.join(found, (F.col("__hash") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    cols = C.Carried(documents, RESULT)
+    slim = cols.frame.select(F.col(cols["doc_id"]).alias("doc_id"), F.col(cols["text"]).alias("text"))
+    found = ngram_components(slim, width, percent, fragments, sketch_bits, log2_bits, block)
+    found = found.select(F.col("doc_id").alias("id"), "row", *RESULT, "first").dropDuplicates(["id", "row"])
+    hashed = cols.frame.withColumn("hash", F.xxhash64(cols["doc_id"], cols["text"]))
+    out = hashed.join(found, (F.col("hash") == F.col("row")) & F.col(cols["doc_id"]).eqNullSafe(F.col("id")))
     if one_each:
-        out = out.where("__first").dropDuplicates(["__hash", "doc_id"])
-    return out.select(*[F.col(f"`{c}`") for c in keep], *RESULT)
+        out = out.where("first").dropDuplicates(["hash", cols["doc_id"]])
+    return cols.named(out, RESULT)
 
 
 def ngram_components(
-    documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 22, log2_bits: int = 24,
+    documents: DataFrame, width: int = 3, percent: int = 90, fragments: int = 4, sketch_bits: int = 22, log2_bits: int = 24, block: int = 1024,
 ) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, first) of each document, without its other columns.
 
     ``row`` is xxhash64(doc_id, text); ``first`` marks the row of the smallest id of a component.
     """
-    docs, links = ngram_links(documents, width, percent, fragments, sketch_bits, log2_bits)
+    docs, links = ngram_links(documents, width, percent, fragments, sketch_bits, log2_bits, block)
     labels = components(links)
     head = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")
     groups = docs.where("n > 0").groupBy("set").agg(F.min(head).alias("head"))

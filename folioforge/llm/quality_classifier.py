@@ -11,10 +11,12 @@ their id), so what is collected and broadcast is bounded: ``sample`` vectors of
 ``terms`` counts once, then ``sample`` x ``rank`` and ``terms`` x ``rank`` numbers.
 Scoring sees whole texts of all documents.
 
-Defined results: null and empty texts get a score as any other (a zero vector votes
-with equal weights); ids with several labels vote with their mean; null labels and
-ids don't count; without any label every score is 0.5.  An empty table gives an empty
-table; result columns replace input columns of the same name.
+Defined results: null and empty texts, and all whose vector is zero, get the mean of
+the fitted labels; of labelled vectors at one cosine (to 2**-18) those of the smallest
+ids vote first; identical rows get identical scores; ids with several labels vote with
+their mean; null labels and ids don't count; without any label every score is 0.5.
+Very long texts are counted whole, in a block of their own.  An empty table gives an
+empty table; result columns replace input columns of the same name, in any case.
 """
 
 from __future__ import annotations
@@ -103,12 +105,18 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def votes(latent: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours: int, sharpness: float) -> np.ndarray:
-    """Weighted vote of the nearest labelled vectors of each row."""
+    """Weighted vote of the nearest labelled vectors of each row; among equals the first vote, and a zero vector gets the mean label.
+
+    Cosines are compared as rounded to 2**-18, so that the order of a sum's terms decides no tie.
+    """
     k = min(neighbours, len(known))
-    cosine = latent @ known.T
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    weight = np.exp(sharpness * (np.take_along_axis(cosine, near, 1).astype(np.float64) - 1))
-    return (weight * labels[near]).sum(1) / weight.sum(1)
+    cosine = np.round((latent @ known.T) * np.float32(1 << 18)).astype(np.int64)
+    place = (cosine << 32) - np.arange(len(known))  # one number to order by: cosine, then the first
+    near = np.argpartition(-place, k - 1, axis=1)[:, :k]
+    near.sort(axis=1)
+    weight = np.exp(sharpness * (np.take_along_axis(cosine, near, 1) / (1 << 18) - 1))
+    out = (weight * labels[near]).sum(1) / weight.sum(1)
+    return np.where(latent.any(1), out, labels.mean())
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -144,8 +152,8 @@ def quality_classifier(
         idf, projection, latent = fit(raw, rank)
         model = spark.sparkContext.broadcast((idf, projection, latent, got.column("quality").to_numpy()[order]))
 
-    keep = [c for c in documents.columns if c not in RESULT]
-    where = keep.index("text")
+    cols = C.Carried(documents, RESULT)
+    where = cols.at("text")
 
     def score(batch: pa.RecordBatch) -> Iterator[dict]:
         for lo, hi, buf, offsets in blocks(batch.column(where), 1 << 20):
@@ -158,9 +166,8 @@ def quality_classifier(
                     idf, projection, latent, values = model.value
                     x = weighted(terms(buf[part[0] : part[-1]], part - part[0]), idf)
                     s = votes(unit(x @ projection), latent, values, neighbours, sharpness)
-                cols = {c: batch.column(i).slice(lo + a, b - a) for i, c in enumerate(keep)}
-                yield cols | {"held_out": batch.column(len(keep)).slice(lo + a, b - a), "score": s, "predicted": (s >= threshold).astype(np.int32)}
+                held = batch.column(len(cols.columns)).slice(lo + a, b - a)
+                yield cols.batch(batch, lo + a, b - a) | {"held_out": held, "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
-    ddl = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    source = documents.select(*[F.col(f"`{c}`") for c in keep], held_out(F.col("doc_id")).alias("__held"))
-    return C.arrow_map(source, score, f"{ddl}, held_out boolean, score double, predicted int")
+    source = cols.frame.withColumn("held", held_out(F.col(cols["doc_id"])))
+    return cols.named(C.arrow_map(source, score, cols.schema("held_out boolean, score double, predicted int")), RESULT)

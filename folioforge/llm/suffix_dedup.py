@@ -13,14 +13,16 @@ anchors at equal places.  Consecutive windows with one anchor are a context.
    equal as a whole (128-bit digest) repeat in all their windows; they are counted by
    a plain aggregation, so copies by the million are pre-aggregated.
 3. One of each set of equal contexts meets the different contexts of its anchor, and
-   their suffixes are sorted.  An anchor with over ``hot`` different contexts is
-   split: its windows are dealt by their hash, so equal windows still meet.
+   their suffixes are sorted.  Of an anchor with over ``hot`` different contexts the
+   windows are counted by 128-bit digest, a plain aggregation again.
 4. Spans go back to their documents; their union is removed.
 
 Defined results: null and empty texts have no bytes; texts below the length lose
 nothing; what is kept may break inside a character, so ``kept`` is binary.
-Identical rows are copies of each other.  An empty table gives an empty table; result
-columns replace input columns of the same name.
+Identical rows are copies of each other, and lose what they share wholly, first and
+last alike.  A very long text is taken in overlapping pieces.  An empty table gives an
+empty table; result columns replace input columns of the same name, in any case; other
+columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -34,20 +36,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import common as C
-from folioforge.llm.textbytes import U64, PrefixHash, blocks, mix
+from folioforge.llm.textbytes import U64, PrefixHash, blocks, gram_hashes
 
 RESULT = ["kept", "n_bytes", "n_removed", "n_spans"]
 CHUNK_BYTES = 1 << 20
+#: A longer text is taken in pieces of so many windows; a context that a cut parts is two contexts.
+PIECE = 4 << 20
 _HIGH, _LOW = U64(0xFFFFFFFF00000000), U64(0x00000000FFFFFFFF)
 
 
+def gram_width(length: int) -> int:
+    """The width of anchors, about a third of the length, as gram_hashes has it."""
+    about = max(1, length * 64 // 200)
+    return about if about < 8 else 8 << (about // 8).bit_length() - 1
+
+
+def pieces(column, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, bytes cut off before, bytes, offsets) of blocks of texts; pieces of one text overlap by ``length`` - 1 bytes."""
+    for lo, _, buf, offsets in blocks(column):
+        for at in range(0, max(len(buf), 1), PIECE) if len(offsets) == 2 else [0]:
+            part = buf[at : at + PIECE + length - 1] if len(offsets) == 2 else buf
+            yield lo, at, part, np.array([0, len(part)]) if len(offsets) == 2 else offsets
+
+
 def contexts(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of a block's contexts: anchor hash, anchor position, first and last window start, document."""
     none = np.zeros(0, np.int64)
     if len(buf) < length:
         return none.view(U64), none, none, none, none
-    sums = PrefixHash(buf)
-    h = mix((sums.sums[gram:] - sums.sums[:-gram]) * sums.down[: len(buf) + 1 - gram])
+    h = gram_hashes(buf, gram)
     w = length - gram + 1
     keys = (h & _HIGH) | np.arange(len(h), dtype=U64)
     rows = -(-len(keys) // w) + 1
@@ -185,14 +202,14 @@ def repeated_windows(buf: np.ndarray, bounds: np.ndarray, length: int) -> np.nda
     return found
 
 
-def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, probes: int = 4, hot: int = 4096) -> DataFrame:
+def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, probes: int = 4, hot: int = 512) -> DataFrame:
     """``documents`` with ``kept`` (the bytes left, binary), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Each byte goes that is covered by a string of ``length`` bytes that also starts
     anywhere else.  ``log2_bits`` sets the fixed size of the filters.
     """
     spark = C.prepared(documents.sparkSession)
-    gram = max(1, length * 64 // 200)
+    gram = gram_width(length)
     chunk = 1 << 18
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,18 +220,21 @@ def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, p
             np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
         for batch in batches:
-            for _, _, buf, offsets in blocks(batch.column(0)):
+            for _, _, buf, offsets in pieces(batch.column(0), length):
                 h, n = np.unique(contexts(buf, offsets, length, gram)[0], return_counts=True)
                 put(twice, h[(n > 1) | C.bloom_has(once, h, log2_bits, probes)])
                 put(once, h)
         yield from C.filter_chunks([once, twice], chunk)
 
-    twice = C.merged_filters(documents.select("text").mapInArrow(count_anchors, C.FILTER_SCHEMA), 2, log2_bits, chunk)[1]
+    cols = C.Carried(documents, RESULT)
+    row = F.xxhash64(cols["doc_id"], cols["text"])
+    texts = cols.frame.select(row.alias("row"), F.col(cols["text"]).alias("text"))
+    twice = C.merged_filters(texts.select("text").mapInArrow(count_anchors, C.FILTER_SCHEMA), 2, log2_bits, chunk)[1]
     shared = spark.sparkContext.broadcast(twice)
 
     def suspects(batch: pa.RecordBatch) -> Iterator[dict]:
         rows = batch.column(0).to_numpy()
-        for lo, _, buf, offsets in blocks(batch.column(1)):
+        for lo, cut_off, buf, offsets in pieces(batch.column(1), length):
             h, anchor, first, last, doc = contexts(buf, offsets, length, gram)
             hit = np.flatnonzero(C.bloom_has(shared.value, h, log2_bits, probes))
             if not len(hit):
@@ -224,10 +244,9 @@ def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, p
             digests = [xxhash.xxh3_128_digest(t, seed=r) for t, r in zip(texts, (anchor - first).tolist(), strict=True)]
             yield {
                 "row": rows[doc + lo], "h": C.longs(h), "c": pa.array(digests, pa.binary()),
-                "first": first - offsets[doc], "windows": (last - first + 1).astype(np.int32), "context": pa.array(texts, pa.binary()),
+                "first": first - offsets[doc] + cut_off, "windows": (last - first + 1).astype(np.int32), "context": pa.array(texts, pa.binary()),
             }
 
-    texts = documents.select(F.xxhash64("doc_id", "text").alias("row"), "text")
     found = C.written(C.arrow_map(texts, suspects, "row long, h long, c binary, first long, windows int, context binary"), "contexts")
     equal = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("rep"), F.max("windows").alias("windows"))
     equal = C.written(equal, "equal_contexts")
@@ -235,56 +254,53 @@ def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, p
     several = equal.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
     reps = C.written(equal.join(several, "h").select("h", F.col("rep.row").alias("row"), F.col("rep.first").alias("first"), "different"), "representatives")
     to_sort = found.select("row", "first", "h", "c", "context").join(reps, ["row", "first", "h"])
+    to_sort = C.written(to_sort.select("h", "c", "context", "different"), "to_sort")
 
-    def dealt(batch: pa.RecordBatch) -> Iterator[dict]:
-        h, c, context, different = (batch.column(i) for i in range(4))
-        plain = pa.compute.less_equal(different, hot)
-        at = pa.compute.indices_nonzero(plain)
-        n = len(at)
-        if n:
-            yield {"h": h.take(at), "deal": np.zeros(n, np.int64), "c": c.take(at), "offset": np.zeros(n, np.int32), "context": context.take(at)}
-        for i in pa.compute.indices_nonzero(pa.compute.invert(plain)).to_pylist():
-            text = np.frombuffer(context[i].as_py(), np.uint8)
-            starts = np.arange(len(text) - length + 1)
-            deal = mix(PrefixHash(text)(starts, starts + length))
-            parts = pa.array([text[k : k + length].tobytes() for k in starts.tolist()], pa.binary())
-            yield {"h": np.repeat(h[i].as_py(), len(starts)), "deal": C.longs(deal), "c": pa.array([c[i].as_py()] * len(starts), pa.binary()), "offset": starts.astype(np.int32), "context": parts}
-
-    placed = C.arrow_map(to_sort.select("h", "c", "context", "different"), dealt, "h long, deal long, c binary, offset int, context binary")
-    placed = placed.repartition("h", "deal").sortWithinPartitions("h", "deal", "c", "offset")
+    def windows(batch: pa.RecordBatch) -> Iterator[dict]:
+        for h, c, context in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            n = len(context) - length + 1
+            digests = [xxhash.xxh3_128_digest(context[k : k + length]) for k in range(n)]
+            yield {"h": np.repeat(h, n), "c": pa.array([c] * n, pa.binary()), "lo": np.arange(n, dtype=np.int32), "window": pa.array(digests, pa.binary())}
+
+    # Windows of crowded anchors are counted by digest: no task gathers the rows of one.
+    crowded = C.arrow_map(to_sort.where(F.col("different") > hot).select("h", "c", "context"), windows, "h long, c binary, lo int, window binary")
+    crowded = C.written(crowded.distinct(), "crowded_windows")
+    often = crowded.groupBy("h", "window").count().where("count > 1").select("h", "window")
+    counted = crowded.join(often, ["h", "window"], "left_semi").select("c", "lo", F.col("lo").alias("hi"))
+    placed = to_sort.where(F.col("different") <= hot).select("h", "c", "context").repartition("h").sortWithinPartitions("h", "c")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, size, now, before = [], [], 0, None, None
 
         def out(rows: list) -> pa.RecordBatch:
-            data = [np.frombuffer(r[2], np.uint8) for r in rows]
+            data = [np.frombuffer(r[1], np.uint8) for r in rows]
             bounds = np.cumsum([0, *map(len, data)])
             flags = repeated_windows(np.concatenate(data), bounds, length)
             c, lo, hi = [], [], []
             at = 0
-            for (digest, offset, _), text in zip(rows, data, strict=True):
+            for (digest, _), text in zip(rows, data, strict=True):
                 n = len(text) - length + 1
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], flags[at : at + n], [False]]).astype(np.int8))).reshape(-1, 2)
                 for x, y in edge.tolist():
                     c.append(digest)
-                    lo.append(offset + x)
-                    hi.append(offset + y - 1)
+                    lo.append(x)
+                    hi.append(y - 1)
                 at += n
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["c", "lo", "hi"])
 
         for batch in batches:
-            for h, deal, c, offset, context in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (h, deal) != now:
+            for h, c, context in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if h != now:
                     held += group if len(group) > 1 else []
-                    now, group, before = (h, deal), [], None
+                    now, group, before = h, [], None
                     if size > CHUNK_BYTES:
                         if held:
                             yield out(held)
                         held, size = [], 0
-                if (c, offset) == before:
+                if c == before:
                     continue  # the context of an identical row
-                before = (c, offset)
-                group.append((c, offset, context))
+                before = c
+                group.append((c, context))
                 size += len(context)
         held += group if len(group) > 1 else []
         if held:
@@ -292,17 +308,17 @@ def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, p
 
     C.prepared(spark)
     partial = placed.mapInArrow(sort, "c binary, lo int, hi int")
-    runs = C.written(whole.unionByName(partial.join(whole.select("c"), "c", "left_anti")), "runs")
+    runs = C.written(whole.unionByName(partial.unionByName(counted).join(whole.select("c"), "c", "left_anti")), "runs")
     spans = found.select("row", "first", "c").join(runs, "c").groupBy("row").agg(
-        F.collect_set(F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") + length).alias("end"))).alias("__spans")
+        F.collect_set(F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") + length).alias("end"))).alias("spans")
     )
-    keep = [c for c in documents.columns if c not in RESULT]
-    joined = documents.withColumn("__row", F.xxhash64("doc_id", "text")).join(spans.withColumnRenamed("row", "__key"), F.col("__row") == F.col("__key"), "left")
-    where = keep.index("text")
+    spans = spans.withColumnRenamed("row", "key")
+    joined = cols.frame.withColumn("hash", row).join(spans, F.col("hash") == F.col("key"), "left")
+    where = cols.at("text")
 
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         kept, n_bytes, n_removed, n_spans = [], [], [], []
-        for text, spans in zip(batch.column(where).cast(pa.binary()).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
+        for text, spans in zip(batch.column(where).cast(pa.binary()).to_pylist(), batch.column(len(cols.columns)).to_pylist(), strict=True):
             text = text or b""
             left, at, runs = [], 0, 0
             for x, y in sorted((s["start"], s["end"]) for s in spans or ()):
@@ -316,7 +332,7 @@ def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, p
             n_bytes.append(len(text))
             n_removed.append(len(text) - len(kept[-1]))
             n_spans.append(runs)
-        yield {c: batch.column(i) for i, c in enumerate(keep)} | {"kept": pa.array(kept, pa.binary()), "n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans}
+        yield cols.batch(batch) | {"kept": pa.array(kept, pa.binary()), "n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans}
 
-    ddl = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return C.arrow_map(joined.select(*[F.col(f"`{c}`") for c in keep], "__spans"), cut, f"{ddl}, kept binary, n_bytes long, n_removed long, n_spans long")
+    results = "kept binary, n_bytes long, n_removed long, n_spans long"
+    return cols.named(C.arrow_map(joined.select(*cols.columns, "spans"), cut, cols.schema(results)), RESULT)
