@@ -9,13 +9,13 @@ segment by segment, and the counts summed for each pair.
 1. Equal sets collapse to one set; links are sought between different sets only.
 2. Two sets with the asked similarity share an n-gram among the first of each in
    the order (prefix filter), so sets meet at such n-grams.
-3. At each shared n-gram one set leads; the others are compared with the leader only.
-   Their links make components, and pairs inside one are not looked at.  Sets of
-   different components that meet are compared by their parities: a set's n-grams
-   fall into some 1.5 bins an n-gram, and a bit says whether a bin holds an odd
-   number.  Bits that differ bound the symmetric difference from below and nearly
-   reach it, so few unlinked pairs pass.  An n-gram at which very many sets meet is
-   split into pairs of blocks of its sets, each a key of its own.
+3. Sets that meet are compared by their parities: a set's n-grams fall into bins, and
+   a bit says whether a bin holds an odd number.  Bits that differ bound the symmetric
+   difference from below and nearly reach it, so few unlinked pairs pass, and sets
+   that met by chance go on nowhere.  At each shared n-gram one set leads; what is
+   near it is counted first, and the links make components.  Only sets of different
+   components are paired after that.  An n-gram at which very many sets meet is split
+   into pairs of blocks of its sets, each a key of its own.
 4. Every pair that passes is counted exactly, fragment by fragment.
 5. Components by repeated minimum labels with pointer jumping.
 
@@ -52,8 +52,8 @@ from folioforge.llm.textbytes import U64, blocks, flat, mix, shingle_sets
 CHUNK = 1 << 16
 #: Sets with one number and different second ones that may be numbered anew (about 100 are expected in 5e10 sets).
 MOST_RENUMBERED = 100_000
-#: Bins of a parity: about 1.5 an n-gram, a power of two within these bounds.
-LEAST_BINS, MOST_BINS = 128, 4096
+#: Bins of a parity: about so many for each n-gram in which linked sets may differ, a power of two within the bounds.
+BINS_PER_DIFFERENCE, LEAST_BINS, MOST_BINS = 6, 64, 4096
 #: Pairs that are compared at a time.
 PAIRS = 1 << 17
 RESULT = ["n_shingles", "component_id"]
@@ -83,20 +83,21 @@ class Shingles:
             self.ids = np.where(np.isin(self.ids, renumbered), self.check, self.ids)
 
 
-def bins_of(n: np.ndarray) -> np.ndarray:
-    return np.clip(1 << np.ceil(np.log2(1.5 * np.maximum(n, 1))).astype(np.int64), LEAST_BINS, MOST_BINS)
+def bins_of(n: np.ndarray, percent: int) -> np.ndarray:
+    wanted = BINS_PER_DIFFERENCE * np.maximum(max_difference(n, n, percent), 1)
+    return np.clip(1 << np.round(np.log2(wanted)).astype(np.int64), LEAST_BINS, MOST_BINS)
 
 
-def parities(sets: Shingles) -> list[bytes]:
+def parities(sets: Shingles, percent: int) -> list[bytes]:
     """Each set's bits: bin i (the low bits of a hash) holds an odd number of n-grams."""
-    bins = bins_of(sets.n)
+    bins = bins_of(sets.n, percent)
     start = np.cumsum(bins) - bins
     at = np.repeat(start, sets.n) + (sets.h & np.repeat(bins - 1, sets.n).astype(U64)).astype(np.int64)
     odd = np.packbits((np.bincount(at, minlength=int(bins.sum())) & 1).astype(np.uint8), bitorder="little")
     return [odd[a : a + b].tobytes() for a, b in zip((start // 8).tolist(), (bins // 8).tolist(), strict=True)]
 
 
-def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def set_rows(documents: DataFrame, width: int, percent: int, sketch_bits: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """A row for each document, (doc_id, row, n, set, parity); the sketch of document frequencies; the renumbered sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def set_rows(documents: DataFrame, width: int, sketch_bits: int) -> tuple[DataFr
                 ids, check = np.zeros((2, hi - lo), U64)
                 ids[sets.doc], check[sets.doc] = sets.ids, sets.check
                 parity = [None] * (hi - lo)
-                for d, x in zip(sets.doc.tolist(), parities(sets), strict=True):
+                for d, x in zip(sets.doc.tolist(), parities(sets, percent), strict=True):
                     parity[d] = x
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sets.per_doc, pa.int64()), pa.array(C.longs(ids)),
@@ -187,13 +188,13 @@ def prefix_rows(documents: DataFrame, width: int, percent: int, sketch, renumber
                 own = own[k <= np.partition(k, first - 1)[first - 1]]  # equal places count as one
                 sizes[i] = len(own)
                 out_h.append(own)
-            yield {"token": C.longs(np.concatenate(out_h)), "set": C.longs(np.repeat(sets.ids, sizes)), "n": np.repeat(sets.n, sizes)}
+            yield {"token": C.longs(np.concatenate(out_h)), "set": C.longs(np.repeat(sets.ids, sizes)), "n": np.repeat(sets.n, sizes).astype(np.int32)}
 
-    return C.arrow_map(documents.select("text"), run, "token long, set long, n long")
+    return C.arrow_map(documents.select("text"), run, "token long, set long, n int")
 
 
 class Met:
-    """Rows of sets at tokens, sorted by token: columns, and the words of their parities."""
+    """Rows of sets under keys (token, low, high), sorted by key: columns, and the words of their parities."""
 
     def __init__(self, key: np.ndarray, set_: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, words: np.ndarray, start: np.ndarray):
         self.key, self.set, self.n, self.label, self.side, self.words, self.start = key, set_, n, label, side, words, start
@@ -203,7 +204,7 @@ class Met:
         data, offsets = flat(batch.column("parity"))
         words = data[offsets[0] : offsets[-1]].copy().view(np.uint64)
         key = np.stack([batch.column(x).to_numpy() for x in ("token", "low", "high")], 1)
-        return cls(key, *(batch.column(x).to_numpy() for x in ("set", "n", "label", "side")), words, (offsets - offsets[0]) // 8)
+        return cls(key, *(batch.column(x).to_numpy().astype(np.int64) for x in ("set", "n", "label", "side")), words, (offsets - offsets[0]) // 8)
 
     def __len__(self) -> int:
         return len(self.set)
@@ -245,54 +246,77 @@ class Met:
         return ok
 
 
-def leaders_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): the leader of a token, its first row, with each other set that may be linked to it."""
+def survey(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, a, b): pairs of a token's leader a with the sets b near it, and with null b the sets near any set of their key.
+
+    A key's leader is its first row; keys whose ``label`` is 0 have none that counts.
+    Rows come sorted by key and place; a key's rows are few (see ``dealt``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            met = Met.of(batch)
-            met = met if last is None else met.after(last)
+        for met in keywise(batches):
             cuts = met.cuts()
-            lead = np.repeat(cuts[:-1], np.diff(cuts))
+            size = np.diff(cuts)
+            lead = np.repeat(cuts[:-1], size)
+            near = np.zeros(len(met), bool)
             other = np.flatnonzero(met.set != met.set[lead])
-            last = met.slice(int(cuts[-2]), int(cuts[-2]) + 1)  # its token may go on in the next batch
             for lo in range(0, len(other), PAIRS):
                 y = other[lo : lo + PAIRS]
-                x = lead[y]
-                ok = met.close(x, y, percent)
-                yield pair_rows(met.set[x[ok]], met.set[y[ok]])
+                near[y] = met.close(lead[y], y, percent)
+            led = np.flatnonzero(near & (met.label == 1))
+            yield out(met.key[led, 0], met.set[lead[led]], met.set[led], True)
+            # The rest may be near others than the leader.
+            apart = other[~near[other]]
+            near[lead[near]] = True
+            each = np.repeat(size, size)[apart]
+            before = np.cumsum(each) - each
+            for lo in range(0, int(each.sum()), PAIRS):
+                k = np.arange(lo, min(lo + PAIRS, int(each.sum())))
+                i = np.searchsorted(before, k, "right") - 1
+                x = apart[i]
+                y = lead[x] + k - before[i]
+                go = np.flatnonzero((met.set[x] != met.set[y]) & (y != lead[x]))
+                go = go[met.close(x[go], y[go], percent)]
+                near[x[go]] = near[y[go]] = True
+            yield out(met.key[near, 0], met.set[near], met.set[near], False)
+
+    def out(token: np.ndarray, a: np.ndarray, b: np.ndarray, paired: bool) -> pa.RecordBatch:
+        b = pa.array(b) if paired else pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(a), b], names=["token", "a", "b"])
 
     C.prepared(rows.sparkSession)
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "token long, a long, b long")
+
+
+def keywise(batches: Iterator[pa.RecordBatch]) -> Iterator[Met]:
+    """Batches cut where keys end."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        met = Met.of(batch)
+        met = met if held is None else met.after(held)
+        end = int(met.cuts()[-2])
+        held = met.slice(end, len(met))
+        if end:
+            yield met.slice(0, end)
+    if held is not None:
+        yield held
 
 
 def later_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of sets of different labels that meet under a key (of different sides, if the key has two) and may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            met = Met.of(batch)
-            met = met if held is None else met.after(held)
-            end = int(met.cuts()[-2])
-            held = met.slice(end, len(met))
-            yield from pairs(met.slice(0, end))
-        if held is not None:
-            yield from pairs(held)
+        for met in keywise(batches):
+            yield from pairs(met)
 
     def pairs(met: Met) -> Iterator[pa.RecordBatch]:
         cuts = met.cuts()
-        if len(met):
-            low, high = np.minimum.reduceat(met.label, cuts[:-1]), np.maximum.reduceat(met.label, cuts[:-1])
+        low, high = np.minimum.reduceat(met.label, cuts[:-1]), np.maximum.reduceat(met.label, cuts[:-1])
         ends = np.repeat(cuts[1:], np.diff(cuts))
         more = ends - np.arange(len(met)) - 1  # rows after each under its key
-        if len(met):
-            more[np.repeat(low == high, np.diff(cuts))] = 0
+        more[np.repeat(low == high, np.diff(cuts))] = 0
         before = np.cumsum(more) - more
         for lo in range(0, int(more.sum()), PAIRS):
             k = np.arange(lo, min(lo + PAIRS, int(more.sum())))
@@ -389,16 +413,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Rows with the key (token, low, high): a token of over four blocks of sets is split into all pairs of its blocks."""
-    crowded = rows.groupBy("token").count().where(F.col("count") > 4 * block)
-    crowded = C.written(crowded.select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "crowded")
-    zero = F.lit(0)
+    """Rows with the key (token, low, high) and ``leads``: a token of over four blocks of sets is split into all pairs of its blocks.
+
+    ``leads`` is 1 where the first set of the token (by ``place``, then number) is among those of the key.
+    """
+    crowded = rows.groupBy("token").agg(F.count("*").alias("count"), F.min(F.struct("place", "set")).alias("lead")).where(F.col("count") > 4 * block)
+    crowded = C.written(crowded.select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"), F.col("lead.set").alias("lead")), "crowded")
+    zero, one = F.lit(0), F.lit(1)
     if crowded.isEmpty():
-        return rows.withColumns({"low": zero, "high": zero, "side": zero})
-    found = rows.join(crowded, "token", "left").withColumn("own", F.pmod(F.xxhash64("set"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    found = found.withColumn("other", F.explode(F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1)))
+        return rows.withColumns({"low": zero, "high": zero, "side": zero, "leads": one})
+    blocks_of = F.coalesce("blocks", one)
+    found = rows.join(crowded, "token", "left").withColumns({
+        "own": F.pmod(F.xxhash64("set"), blocks_of).cast("int"), "first": F.coalesce(F.pmod(F.xxhash64("lead"), blocks_of), zero).cast("int"),
+    })
+    found = found.withColumn("other", F.explode(F.sequence(zero, blocks_of - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    return found.withColumns({"low": low, "high": high, "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
+    leads = ((F.col("own") == F.col("first")) | (F.col("other") == F.col("first"))).cast("int")
+    return found.withColumns({"low": low, "high": high, "side": (F.col("own") > F.col("other")).cast("int"), "leads": leads}).drop("blocks", "lead", "own", "other", "first")
 
 
 def ngram_links(
@@ -407,32 +438,34 @@ def ngram_links(
     """Rows (doc_id, row, n, set) of all documents, and the links (a, b) that make their sets' components."""
     spark = C.prepared(documents.sparkSession)
     texts = documents.select("doc_id", "text")
-    docs, counts, renumbered = set_rows(texts, width, sketch_bits)
+    docs, counts, renumbered = set_rows(texts, width, percent, sketch_bits)
     sketch = spark.sparkContext.broadcast(counts)
     cuts = spark.sparkContext.broadcast(pivots(counts, fragments))
     placed = prefix_rows(texts, width, percent, sketch, renumbered).repartition("token").dropDuplicates(["token", "set"])
     placed = placed.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
     tokens = C.written(placed, "tokens")
-    weight = tokens.groupBy("set").agg(F.count("*").alias("weight"), F.max("n").alias("n"))
-    sets = C.written(docs.where("n > 0").groupBy("set").agg(F.first("parity").alias("parity")).join(weight, "set"), "met_sets")
     # The leader of a token: of its sets the one that meets most others, relative to its size.
-    lead = F.struct((-F.col("weight") / F.col("n")).alias("w"), "set")
-    zero = F.lit(0)
-    rows = C.written(tokens.drop("n").join(sets, "set").select("token", "set", "n", "parity", lead.alias("lead")), "token_sets")
-    C.discard(tokens, sets)
-    ordered = rows.repartition("token").sortWithinPartitions("token", "lead")
-    ordered = ordered.select("token", zero.alias("low"), zero.alias("high"), "set", "n", F.col("set").alias("label"), zero.alias("side"), "parity")
-    first = C.written(leaders_pairs(ordered, percent), "first_pairs")
+    weight = tokens.groupBy("set").agg((-F.count("*") / F.max("n")).cast("float").alias("place"))
+    sets = C.written(docs.where("n > 0").groupBy("set").agg(F.first("parity").alias("parity")).join(weight, "set"), "met_sets")
+    names = ["token", "low", "high", "set", "n", "label", "side", "parity"]
+    rows = dealt(C.written(tokens.join(sets, "set"), "token_sets"), block).withColumn("label", F.col("leads"))
+    rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "place", "set").select(*names)
+    near = C.written(survey(rows, percent), "near")
+    first = C.written(near.where("b is not null").select("a", "b").distinct(), "first_pairs")
     wanted = C.written(first.select(F.col("a").alias("set")).union(first.select("b")).distinct(), "wanted")
     segs = C.written(segments(texts, wanted, width, sketch, renumbered, cuts, log2_bits), "segments")
     links = C.written(verified(first, segs, percent), "links")
     # Of the rest only pairs that the leaders' links don't join already.
     labels = components(links)
-    apart = rows.join(labels, "set", "left").select("token", "set", "n", "parity", F.coalesce("label", "set").alias("label"))
-    apart = dealt(apart, block).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    apart = near.where("b is null").select("token", F.col("a").alias("set")).distinct().join(labels, "set", "left")
+    apart = C.written(apart.withColumn("label", F.coalesce("label", "set")), "apart")
+    several = apart.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    apart = apart.join(several, "token", "left_semi").join(tokens, ["token", "set"]).join(sets, "set")
+    apart = dealt(C.written(apart, "apart_sets"), block)
+    apart = apart.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").select(*names)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = C.written(later_pairs(apart, percent).join(tried, ["a", "b"], "left_anti"), "second_pairs")
-    C.discard(rows, first)
+    C.discard(tokens, sets, first, near)
     more = C.written(second.select(F.col("a").alias("set")).union(second.select("b")).distinct().join(wanted, "set", "left_anti"), "wanted_more")
     extra = C.written(segments(texts, more, width, sketch, renumbered, cuts, log2_bits), "more_segments")
     later = C.written(verified(second, segs.unionByName(extra), percent), "later_links")

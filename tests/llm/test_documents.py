@@ -136,6 +136,12 @@ def test_ngram_join(docs, width, percent):
     assert by_row(got.collect(), ["n_shingles", "component_id"]) == components_oracle(rows(), width, percent)
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_ngram_join_splits_crowded_ngrams(docs, block):
+    got = ngram_components(docs, 3, 90, sketch_bits=8, log2_bits=10, block=block)
+    assert by_row(got.collect(), ["n_shingles", "component_id"]) == components_oracle(rows())
+
+
 def test_ngram_join_keeps_one_of_each(docs, empty):
     got = ngram_join(docs, 3, 90, sketch_bits=14, one_each=True).collect()
     wanted = {x[2] for x in components_oracle(rows()) if x[0] is not None}
