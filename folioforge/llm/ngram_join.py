@@ -14,7 +14,7 @@ segment by segment, and the counts summed for each pair.
    difference from below and nearly reach it, so few unlinked pairs pass, and sets
    that met by chance go on nowhere.  At each shared n-gram one set leads; what is
    near it is counted first, and the links make components.  Only sets of different
-   components are paired after that.  An n-gram at which very many sets meet is split
+   components are paired after that, by longer parities.  An n-gram at which very many sets meet is split
    into pairs of blocks of its sets, each a key of its own.
 4. Every pair that passes is counted exactly, fragment by fragment.
 5. Components by repeated minimum labels with pointer jumping.
@@ -52,8 +52,9 @@ from folioforge.llm.textbytes import U64, blocks, flat, mix, shingle_sets
 CHUNK = 1 << 16
 #: Sets with one number and different second ones that may be numbered anew (about 100 are expected in 5e10 sets).
 MOST_RENUMBERED = 100_000
-#: Bins of a parity: about so many for each n-gram in which linked sets may differ, a power of two within the bounds.
-BINS_PER_DIFFERENCE, LEAST_BINS, MOST_BINS = 6, 64, 4096
+#: Bins of the two parities of a set, coarse and fine: about so many for each n-gram in which linked sets may
+#: differ, a power of two within the bounds.
+COARSE, FINE = (6, 64, 4096), (48, 512, 1 << 15)
 #: Pairs that are compared at a time.
 PAIRS = 1 << 17
 RESULT = ["n_shingles", "component_id"]
@@ -83,14 +84,11 @@ class Shingles:
             self.ids = np.where(np.isin(self.ids, renumbered), self.check, self.ids)
 
 
-def bins_of(n: np.ndarray, percent: int) -> np.ndarray:
-    wanted = BINS_PER_DIFFERENCE * np.maximum(max_difference(n, n, percent), 1)
-    return np.clip(1 << np.round(np.log2(wanted)).astype(np.int64), LEAST_BINS, MOST_BINS)
-
-
-def parities(sets: Shingles, percent: int) -> list[bytes]:
+def parities(sets: Shingles, percent: int, bins: tuple[int, int, int]) -> list[bytes]:
     """Each set's bits: bin i (the low bits of a hash) holds an odd number of n-grams."""
-    bins = bins_of(sets.n, percent)
+    each, least, most = bins
+    wanted = each * np.maximum(max_difference(sets.n, sets.n, percent), 1)
+    bins = np.clip(1 << np.round(np.log2(wanted)).astype(np.int64), least, most)
     start = np.cumsum(bins) - bins
     at = np.repeat(start, sets.n) + (sets.h & np.repeat(bins - 1, sets.n).astype(U64)).astype(np.int64)
     odd = np.packbits((np.bincount(at, minlength=int(bins.sum())) & 1).astype(np.uint8), bitorder="little")
@@ -98,7 +96,7 @@ def parities(sets: Shingles, percent: int) -> list[bytes]:
 
 
 def set_rows(documents: DataFrame, width: int, percent: int, sketch_bits: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """A row for each document, (doc_id, row, n, set, parity); the sketch of document frequencies; the renumbered sets."""
+    """A row for each document, (doc_id, row, n, set, parity, fine); the sketch of document frequencies; the renumbered sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << sketch_bits, np.uint32)
@@ -108,24 +106,25 @@ def set_rows(documents: DataFrame, width: int, percent: int, sketch_bits: int) -
                 np.add.at(sketch, (sets.h >> U64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
                 ids, check = np.zeros((2, hi - lo), U64)
                 ids[sets.doc], check[sets.doc] = sets.ids, sets.check
-                parity = [None] * (hi - lo)
-                for d, x in zip(sets.doc.tolist(), parities(sets, percent), strict=True):
-                    parity[d] = x
+                both_parities = [[None] * (hi - lo) for _ in (COARSE, FINE)]
+                for column, bins in zip(both_parities, (COARSE, FINE), strict=True):
+                    for d, x in zip(sets.doc.tolist(), parities(sets, percent, bins), strict=True):
+                        column[d] = x
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sets.per_doc, pa.int64()), pa.array(C.longs(ids)),
-                    pa.array(C.longs(check)), pa.array(parity, pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary()),
+                    pa.array(C.longs(check)), *(pa.array(x, pa.binary()) for x in both_parities), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary()),
                 ], names=names)
         sketch = np.minimum(sketch, 65535).astype(np.uint16)  # an order needs no more of what one task saw
         for k in range(0, len(sketch), CHUNK):
             if sketch[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(1, id_arrow), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()),
+                    pa.nulls(1, id_arrow), *(pa.nulls(1, pa.int64()) for _ in range(4)), *(pa.nulls(1, pa.binary()) for _ in range(2)),
                     pa.array([k // CHUNK], pa.int32()), pa.array([C.packed(sketch[k : k + CHUNK])], pa.binary()),
                 ], names=names)
 
     id_type = documents.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
-    schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("row long, n long, set long, check long, parity binary, chunk int, counts binary")])
+    schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("row long, n long, set long, check long, parity binary, fine binary, chunk int, counts binary")])
     names = schema.names
     C.prepared(documents.sparkSession)
     both = C.written(documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, schema), "sets")
@@ -237,7 +236,7 @@ class Met:
         ok = np.abs(self.n[x] - self.n[y]) <= most
         size = np.diff(self.start)
         go = np.flatnonzero(ok)
-        kinds = size[x[go]] * (MOST_BINS + 1) + size[y[go]]
+        kinds = size[x[go]] * (FINE[2] + 1) + size[y[go]]
         for kind in np.unique(kinds):
             at = go[kinds == kind]
             bins = int(min(size[x[at[0]]], size[y[at[0]]]))
@@ -446,9 +445,9 @@ def ngram_links(
     tokens = C.written(placed, "tokens")
     # The leader of a token: of its sets the one that meets most others, relative to its size.
     weight = tokens.groupBy("set").agg((-F.count("*") / F.max("n")).cast("float").alias("place"))
-    sets = C.written(docs.where("n > 0").groupBy("set").agg(F.first("parity").alias("parity")).join(weight, "set"), "met_sets")
+    sets = C.written(docs.where("n > 0").groupBy("set").agg(F.first("parity").alias("parity"), F.first("fine").alias("fine")).join(weight, "set"), "met_sets")
     names = ["token", "low", "high", "set", "n", "label", "side", "parity"]
-    rows = dealt(C.written(tokens.join(sets, "set"), "token_sets"), block).withColumn("label", F.col("leads"))
+    rows = dealt(C.written(tokens.join(sets.drop("fine"), "set"), "token_sets"), block).withColumn("label", F.col("leads"))
     rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "place", "set").select(*names)
     near = C.written(survey(rows, percent), "near")
     first = C.written(near.where("b is not null").select("a", "b").distinct(), "first_pairs")
@@ -460,7 +459,7 @@ def ngram_links(
     apart = near.where("b is null").select("token", F.col("a").alias("set")).distinct().join(labels, "set", "left")
     apart = C.written(apart.withColumn("label", F.coalesce("label", "set")), "apart")
     several = apart.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    apart = apart.join(several, "token", "left_semi").join(tokens, ["token", "set"]).join(sets, "set")
+    apart = apart.join(several, "token", "left_semi").join(tokens, ["token", "set"]).join(sets.drop("parity").withColumnRenamed("fine", "parity"), "set")
     apart = dealt(C.written(apart, "apart_sets"), block)
     apart = apart.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").select(*names)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
