@@ -9,9 +9,11 @@ The vocabulary is read by the driver from a file named by a parameter and sent t
 the workers once (it has a fixed size).  Nothing is trained.
 
 Defined results: a null text counts as empty and has no ids.  Ids of added tokens
-come from their exact strings in a text, as the tokenizers library has it.
+come from their exact strings in a text, as the tokenizers library has it.  Very long
+texts and words are encoded whole.  Of pairs of one rank the first merges first.
 Identical rows get identical results; an empty table gives an empty table; result
-columns replace input columns of the same name.
+columns replace input columns of the same name, in any case; other columns pass through
+under any name.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: (Python's classes count U+001C to U+001F as blanks; Unicode's White_Space doesn't.)
 _S, _N = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 PIECES = re.compile(f"{_S}?{_N}+|{_S}+(?={_S}{_N})|{_S}+").findall
-#: Entries of the two caches of a worker, about 200 bytes each.
-TOKEN_ENTRIES, PIECE_ENTRIES = 250_000, 60_000
+#: Entries of a generation of the two caches of a worker, about 220 bytes each; each cache has two generations.
+TOKEN_ENTRIES, PIECE_ENTRIES = 100_000, 200_000
 CACHED_CHARS = 48
 
 
@@ -134,18 +136,26 @@ class ByteBPE:
 
 
 class BoundedCache(dict):
-    """Ids of strings seen before; it is emptied when full, so its memory is bounded."""
+    """Ids of strings seen before, in two generations of up to ``entries`` each.
+
+    A string found in the old generation moves to the young one; when that is full
+    it becomes the old one, so what is used again and again stays.
+    """
 
     def __init__(self, entries: int, make: Callable[[str], bytes]):
         super().__init__()
-        self.entries, self.make = entries, make
+        self.entries, self.make, self.old = entries, make, {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self.make(text)
-        if len(text) <= CACHED_CHARS:
-            if len(self) >= self.entries:
-                self.clear()
-            self[text] = found
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+            if len(text) > CACHED_CHARS:
+                return found
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[text] = found
         return found
 
 
