@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.bpe import bpe_round_trip
 from folioforge.llm.chat_format import REPLY, exchanges, link_calls
 from folioforge.llm.line_dedup import line_dedup
-from folioforge.llm.mixing import RESULT as MIX_RESULT
-from folioforge.llm.mixing import mix_sources
+from folioforge.llm.mixing import mix_plan
 from folioforge.llm.multi_index import multi_index_search
 from folioforge.llm.ngram_join import ngram_components
 from folioforge.llm.quality_classifier import quality_classifier
@@ -61,7 +60,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", *MIX_RESULT)
+    return mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     got = link_calls(messages, *exchanges(messages), REPLY)
-    return got.select("conv_id", "turn", "at", "kind", "level", "call_id", "linked", "valid", sha256(F.col("json")).alias("json_sha256"))
+    return got.select("conv_id", "turn", "at", "kind", "after_turn", "after_at", "level", "call_id", "linked", "valid", sha256(F.col("json")).alias("json_sha256"))
 
 
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,17 +131,18 @@ r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.e
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN run - size / 2 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
     "op7_chat_format": """
 WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m WHERE role = 'user'),
-c AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn - 2 * n ORDER BY turn) - 1)::INT AS level FROM u),
+c AS (SELECT * FROM m WHERE role = 'user'),
 a AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant'),
-x AS (SELECT conv_id, turn, 'message' AS kind, 0 AS level, NULL AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
+l AS (SELECT conv_id, max(turn) AS turn FROM c GROUP BY conv_id),
+x AS (SELECT conv_id, turn, 0 AS at, 'message' AS kind, 0 AS after_at, 0 AS level, NULL AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
     '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}' AS j FROM m
-  UNION ALL SELECT c.conv_id, c.turn, 'call', c.level, c.turn::VARCHAR, a.turn IS NOT NULL, c.text <> '',
+  UNION ALL SELECT c.conv_id, c.turn, 0, 'call', 0, 0, c.turn::VARCHAR, a.turn IS NOT NULL, c.text <> '',
     '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"' || c.turn || '","name":"reply","type":"call"}'
     FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
-  UNION ALL SELECT a.conv_id, a.turn, 'result', 0, (a.turn - 1)::VARCHAR, c.turn IS NOT NULL, NULL,
+  UNION ALL SELECT conv_id, turn, -1, 'call', 0, 1, 'title', false, true, '{"arguments":{"last":' || turn || '},"id":"title","name":"title","type":"call"}' FROM l
+  UNION ALL SELECT a.conv_id, a.turn, 0, 'result', 0, 0, (a.turn - 1)::VARCHAR, c.turn IS NOT NULL, NULL,
     '{"content":' || to_json(a.text) || ',"id":"' || (a.turn - 1) || '","of_turn":' || coalesce(c.turn::VARCHAR, 'null') || ',"type":"result"}'
     FROM a LEFT JOIN c ON a.conv_id = c.conv_id AND a.turn = c.turn + 1)
-SELECT conv_id, turn, 0 AS at, kind, level, call_id, linked, valid, sha256(j) AS json_sha256 FROM x""",
+SELECT conv_id, turn, at, kind, turn AS after_turn, after_at, level, call_id, linked, valid, sha256(j) AS json_sha256 FROM x""",
     "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import queries as Q
 from folioforge.llm.bpe import bpe_round_trip
 from folioforge.llm.line_dedup import line_dedup
-from folioforge.llm.mixing import mix_sources
+from folioforge.llm.mixing import mix_plan, mix_sources
 from folioforge.llm.ngram_join import ngram_components, ngram_join
 from folioforge.llm.quality_classifier import quality_classifier
 from folioforge.llm.quality_rules import quality_rules
@@ -201,9 +201,22 @@ def test_mixing(docs, empty):
     for s in names:
         assert abs(taken[s] - target[s]) <= biggest
     assert by_row(got, ["taken"]) == by_row(mix_sources(docs.repartition(5)).collect(), ["taken"])
+    assert by_row(got, ["taken", "target"]) == by_row(mix_plan(docs).collect(), ["taken", "target"])
+    assert all(r["taken"] == r["size"] * r["copies"] for r in got)
     assert mix_sources(empty).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Sixty equal rows of ten words beside another source, so that half of the words are wanted."""
+    text = "one two three four five six seven eight nine ten"
+    table = spark.createDataFrame([(1, text, "a")] * 60 + [(2 + i, text, "b") for i in range(10)], "doc_id long, text string, source string").repartition(3)
+    for got in (mix_sources(table, weights=(1, 1)).collect(), mix_plan(table, weights=(1, 1)).collect()):
+        target = {r["source"]: r["target"] for r in got}
+        for s in "ab":
+            assert abs(sum(r["taken"] for r in got if r["source"] == s) - target[s]) <= 5
+        assert 0 < target["a"] < 600
+
+
 def test_quality_classifier(spark, docs, empty):
     prose = [(i, " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(40)), 1) for i in range(150)]
     junk = [(1000 + i, " ".join([f"q{i}"] * 30) + " ### $$$", 0) for i in range(150)]
