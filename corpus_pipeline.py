@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.bpe import bpe_round_trip
 from folioforge.llm.common import written
 from folioforge.llm.line_dedup import line_dedup
-from folioforge.llm.mixing import mix_sources
+from folioforge.llm.mixing import WORD, mix_sources
 from folioforge.llm.ngram_join import ngram_join
 from folioforge.llm.quality_rules import quality_rules
 from folioforge.llm.queries import sha256, vocabulary_path
@@ -30,10 +30,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; those not taken go."""
-    taken = mix_sources(docs)
-    copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
-    return taken.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    """Each document with words as many times as the mix takes it; those not taken go."""
+    taken = mix_sources(docs).where(F.col("text").rlike(WORD) & (F.col("copies") > 0))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
