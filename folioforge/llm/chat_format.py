@@ -227,6 +227,8 @@ def order_calls(calls: DataFrame) -> DataFrame:
             spare, done = ready, [merged]
         waiting = held.where("edges > 0")
         single = held.where("edges = 1").select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("top").alias("n_top"), F.col("least").alias("n_least"), F.col("hops").alias("n_hops"))
+        # A need that is settled now settles its call in the next round, and isn't skipped to.
+        single = single.join(ready.select("conv_id", F.col("call_id").alias("next")), ["conv_id", "next"], "left_anti")
         got = links.join(ready.select("conv_id", F.col("call_id").alias("need"), "after", "level"), to_need)
         best = got.groupBy(*key).agg(F.max(F.struct("after", (F.col("level") + F.col("hops")).cast("int").alias("level"))).alias("got"))
         rest = links.join(ready.select("conv_id", F.col("call_id").alias("need")), to_need, "left_anti")
