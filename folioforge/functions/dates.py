@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Notes on a year, from the least certain on.
@@ -13,8 +13,7 @@ YEAR = r"(?<![0-9])([12][0-9]{3})(?![0-9])"
 BRACKETS = r"[\[<]([^\]>]*)[\]>]"
 MARK = r"(?<!\d)[12]\d{3}\s?(?:A\.?\s?H\.?|H|h|s|eg|ʻĀ\.\s?Me|E\.\s?C)(?=$|\.|[\s/\[\(,;])(?!\.[\p{L}])"
 PRINTING = r"(?i)\b(?:stampa|ristampa|rist\.|impr\.|printed|printing)\s*(?:\d{4}|\[\d{4}\])"
-PAIR = r"(?<!\d)([12]\d{3})\s?(?:/|\so\s|\sor\s)\s?([12]\d{3})(?!\d)"
-RUN = r"(?<!\d)([12]\d{3})\s?-\s?[12]\d{3}(?!\d)"
+RANGE = r"^\s*(\d{4})\s*-\s*(\d{4})\s*$"
 
 
 def year_of(value: Column) -> Column:
@@ -27,7 +26,8 @@ def years(text: Column) -> Column:
 
 
 def printing_years(statement: Column) -> Column:
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(statement, F.lit("")), F.lit(f"({PRINTING})"), F.lit(1)), years))
+    """The years that a printing statement names."""
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.coalesce(statement, F.lit("")), F.lit(f"({PRINTING})"), F.lit(1)), years)))
 
 
 def _without_spans(text: Column) -> Column:
@@ -47,13 +47,16 @@ def candidates(statement: Column) -> Column:
 
 
 def bracketed(statement: Column) -> Column:
-    inside = F.array_join(F.regexp_extract_all(F.coalesce(statement, F.lit("")), F.lit(BRACKETS), F.lit(1)), " ; ")
-    return F.filter(candidates(statement), lambda y: F.array_contains(years(_without_spans(inside)), y))
+    """Publication years inside brackets."""
+    inside = F.regexp_extract_all(F.coalesce(statement, F.lit("")), F.lit(BRACKETS), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(inside, candidates)))
 
 
 def indexed_years(values: Column) -> Column:
-    """Index values as years; a range gives both its ends."""
-    return F.array_distinct(F.flatten(F.transform(values, years)))
+    """Index values as years: a year, or both ends of a range; any other value is none."""
+    ends = lambda v: F.array(F.regexp_extract(v, RANGE, 1), F.regexp_extract(v, RANGE, 2))
+    years_ = lambda v: F.when(v.rlike(RANGE), ends(v)).when(v.rlike(r"^\s*\d+\s*$"), F.array(F.trim(v))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(values, lambda v: years_(v).cast("array<int>"))))
 
 
 def gregorian(year: Column, this_year: int) -> Column:
@@ -67,43 +70,52 @@ def is_plain(statement: Column, this_year: int) -> Column:
 
 
 def covers(value: Column, year: Column) -> Column:
-    """Is a year equal to, or inside, an index value."""
-    y = years(value)
-    return (F.size(y) > 0) & year.between(F.array_min(y), F.array_max(y))
+    """Is a year an index value, or inside its range."""
+    low, high = (F.regexp_extract(value, RANGE, i).try_cast("int") for i in (1, 2))
+    return F.when(value.rlike(RANGE), year.between(low, high)).otherwise(F.trim(value) == year.cast("string"))
 
 
-def settle(year: Column, statement: Column, indexed: Column, failed: Column, this_year: int) -> Column:
-    """struct(year, note, shown) by the decision table; the first row that holds decides.
+def needs_check(source: Column, statement: Column, this_year: int) -> Column:
+    """A national-catalogue record with a date that isn't plain."""
+    return (source == "SBN") & (F.coalesce(statement, F.lit("")) != "") & ~is_plain(statement, this_year)
+
+
+def plain_year(statement: Column, this_year: int) -> Column:
+    return F.when(is_plain(statement, this_year), F.try_element_at(candidates(statement), F.lit(1)))
+
+
+def settle_rows(rows: DataFrame, year: str, statement: str, indexed: str, failed: str, this_year: int, name: str = "settled") -> DataFrame:
+    """``rows`` with a struct (year, note, shown) by the decision table; the first row that holds decides.
 
     ``indexed`` is null where the index was never asked and empty where it had nothing.
+    What the rows of the table share is computed once, in columns of its own.
     """
-    c, idx = candidates(statement), F.coalesce(indexed_years(indexed), F.array().cast("array<int>"))
-    first = F.try_element_at(c, F.lit(1))
-    in_index = F.filter(c, lambda y: F.array_contains(idx, y))
-    brackets, asked = bracketed(statement), indexed.isNotNull() & ~F.coalesce(failed, F.lit(False))
-    texts = lambda a: F.transform(a, lambda y: y.cast("string"))
-    printed = F.array_intersect(printing_years(statement), idx)
-    all_ = texts(F.array_distinct(F.concat(c, idx)))
-    none = F.array().cast("array<string>")
-    out = lambda y, note, shown: F.struct(
-        y.cast("string").alias("year"), F.lit(note).cast("string").alias("note"), shown.alias("shown")
-    )
-    null = F.lit(None)
-    has, has_year = F.coalesce(statement, F.lit("")) != "", F.coalesce(year, F.lit("")) != ""
-    unbracketed = (F.size(c) == 1) & F.coalesce(statement.rlike(MARK), F.lit(False)) & (F.size(brackets) == 0)
-    return (
-        F.when(~has & has_year, out(year, None, none))
+    text = F.coalesce(statement, F.lit(""))
+    parts = rows.withColumns({"__c": candidates(text), "__b": bracketed(text), "__p": printing_years(text), "__i": F.coalesce(indexed_years(F.col(indexed)), F.array().cast("array<int>")), "__m": text.rlike(MARK)})
+    c, idx, first = F.col("__c"), F.col("__i"), F.try_element_at("__c", F.lit(1))
+    parts = parts.withColumns({
+        "__plain": F.coalesce((F.size(c) == 1) & gregorian(first, this_year) & ~F.col("__m"), F.lit(False)), "__in": F.array_intersect(c, idx),
+        "__all": F.array_sort(F.array_distinct(F.concat(c, idx))).cast("array<string>"), "__printed": F.array_sort(F.array_intersect("__p", "__i")).cast("array<string>"),
+    })
+    none, null, plain, all_ = F.array().cast("array<string>"), F.lit(None), F.col("__plain"), F.col("__all")
+    asked = F.col(indexed).isNotNull() & ~F.coalesce(failed, F.lit(False))
+    has, has_year = text != "", F.coalesce(year, F.lit("")) != ""
+    out = lambda y, note, shown: F.struct(y.cast("string").alias("year"), F.lit(note).cast("string").alias("note"), shown.alias("shown"))
+    unbracketed = (F.size(c) == 1) & F.col("__m") & (F.size("__b") == 0)
+    got = (
+        F.when(~has & has_year, out(F.col(year), None, none))
         .when(~has, out(null, "no date", none))
-        .when(is_plain(statement, this_year) & (~asked | F.array_contains(idx, first)), out(first, None, none))
-        .when(is_plain(statement, this_year) & (F.size(printed) > 0), out(first, "printed", texts(printed)))
-        .when(is_plain(statement, this_year), out(null, "unsure", all_))
-        .when(F.size(c) == 0, out(null, "unsure", F.array(statement)))
-        .when(asked & F.array_contains(idx, first) & (F.size(F.array_except(brackets, idx)) == 0), out(first, None, none))
-        .when(asked & (F.size(in_index) == 1) & (in_index[0] != first), out(in_index[0], "inferred", none))
+        .when(plain & (~asked | F.array_contains(idx, first)), out(first, None, none))
+        .when(plain & (F.size("__printed") > 0), out(first, "printed", F.col("__printed")))
+        .when(plain, out(null, "unsure", all_))
+        .when(F.size(c) == 0, out(null, "unsure", F.array(text)))
+        .when(asked & F.array_contains(idx, first) & (F.size(F.array_except("__b", "__i")) == 0), out(first, None, none))
+        .when(asked & (F.size("__in") == 1) & (F.col("__in")[0] != first), out(F.col("__in")[0], "inferred", none))
         .when(F.coalesce(failed, F.lit(False)), out(null, "unchecked", all_))
         .when(~F.exists(c, lambda y: gregorian(y, this_year)) | unbracketed, out(null, "other calendar", all_))
         .otherwise(out(null, "unsure", all_))
     )
+    return parts.withColumn(name, got).drop("__c", "__b", "__p", "__i", "__m", "__plain", "__in", "__all", "__printed")
 
 
 def severity(note: Column) -> Column:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import contained
-from folioforge.operators.scratch import written
+from folioforge.operators.scratch import discard, written
 
 
 def min_label(edges: DataFrame) -> DataFrame:
@@ -17,15 +16,20 @@ def min_label(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    held = None
     while True:
         labels = written(labels)
+        if held is not None:
+            discard(held)
         near = both.join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         up = labels.toDF("low", "up")
         new = written(low.join(up, "low", "left").select("node", "label", F.least("low", F.coalesce("up", "low")).alias("new")))
         if new.where("new <> label").isEmpty():
+            discard(new, both)
             return labels
-        labels = new.select("node", F.col("new").alias("label"))
+        discard(labels)
+        held, labels = new, new.select("node", F.col("new").alias("label"))
 
 
 def by_shared_key(rows: DataFrame, node: str, key: str) -> DataFrame:
@@ -40,6 +44,16 @@ def by_shared_key(rows: DataFrame, node: str, key: str) -> DataFrame:
     return least.join(labels.withColumnRenamed("node", "least"), "least").select("node", "label")
 
 
+def containment_pairs(sets: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(a, b): rows of which a's token set (distinct tokens) is contained in b's, found at a's rarest token."""
+    t = sets.where(F.size(tokens) > 0).select(F.col(key).alias("a"), F.col(tokens).alias("t"))
+    each = t.select("a", "t", F.explode("t").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    rare = each.join(often, "token").groupBy("a").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("t").alias("t"))
+    other = each.select("token", F.col("a").alias("b"), F.col("t").alias("u"))
+    return rare.join(other, "token").where((F.col("a") != F.col("b")) & (F.size(F.array_except("t", "u")) == 0)).select("a", "b")
+
+
 def containment_groups(rows: DataFrame, node: str, tokens: str) -> DataFrame:
     """(node, group): components of rows of which one's token set contains the other's.
 
@@ -49,11 +63,8 @@ def containment_groups(rows: DataFrame, node: str, tokens: str) -> DataFrame:
     t = rows.where(F.size(tokens) > 0).select(F.col(node).alias("node"), F.array_sort(F.array_distinct(tokens)).alias("t"))
     t = t.withColumn("set", F.array_join("t", " "))
     sets = t.select("set", "t").distinct()
-    each = sets.select("set", "t", F.explode("t").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
-    rare = each.join(often, "token").groupBy("set").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("t").alias("t"))
-    pairs = rare.join(each.select("token", F.col("set").alias("b"), F.col("t").alias("u")), "token").where((F.col("set") != F.col("b")) & contained(F.col("t"), F.col("u")))
-    labels = min_label(pairs.select(F.col("set").alias("a"), "b").union(sets.select("set", "set")))
+    pairs = containment_pairs(sets, "set", "t")
+    labels = min_label(pairs.union(sets.select("set", "set")))
     words = labels.withColumnRenamed("node", "set").join(sets, "set").select("label", "set", F.explode("t").alias("w"))
     key = words.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("group"))
     return t.join(labels.withColumnRenamed("node", "set"), "set").join(key, "label").select("node", "group")

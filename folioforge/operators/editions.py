@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.publishers import pages_disagree, publisher_agrees
 from folioforge.operators.components import by_shared_key
-from folioforge.operators.store import first_of, ordered_union, present
+from folioforge.operators.store import first_of, present, with_united
 
 
 def fold(records: DataFrame, codes: str = "codes") -> DataFrame:
@@ -29,9 +29,10 @@ def edition_fields(records: DataFrame, key: str = "edition_id", seq: str = "seq"
         F.min(seq).alias(seq), F.count("*").alias("records"), F.sort_array(F.collect_set("source")).alias("sources"),
         F.coalesce(first_of("language", seq, known), F.lit("unknown")).alias("language"), years.alias("printings"),
         F.coalesce(first_of("title", seq, present(F.col("title"), "string")), F.lit("")).alias("title"),
-        *[first_of(c, seq, present(F.col(c), kinds[c])).alias(c) for c in firsts], *[ordered_union(c, seq).alias(c) for c in unions],
+        *[first_of(c, seq, present(F.col(c), kinds[c])).alias(c) for c in firsts],
         *([F.bool_and("refused").alias("refused")] if "refused" in kinds else []),
     )
+    out = with_united(out, records, [key], unions, seq)
     return out.withColumns({"year": F.try_element_at("printings", F.lit(1)), "latest": F.try_element_at("printings", F.lit(-1))})
 
 
@@ -39,16 +40,20 @@ def collisions(editions: DataFrame) -> DataFrame:
     """(a, b): editions of one language and year that may be one.
 
     Rows: edition_id, pos, language, year, sources array, isbn, publisher_keys array of
-    arrays, pages array.  Hints only: an equi-join on language and year, then the tests.
+    arrays, pages array.  Hints only.  One of the two has no ISBN, and publishers that agree
+    share a word, so rows without one meet the others on language, year and word.
     """
     known = editions.where((F.col("language") != "unknown") & F.col("year").isNotNull())
-    a, b = known.alias("a"), known.alias("b")
+    each = known.withColumn("word", F.explode(F.array_distinct(F.flatten("publisher_keys"))))
+    a, b = each.where("isbn is null").alias("a"), each.alias("b")
     tests = (
-        (F.col("a.pos") < F.col("b.pos")) & ~F.arrays_overlap("a.sources", "b.sources") & (F.col("a.isbn").isNull() | F.col("b.isbn").isNull())
+        (F.col("a.pos") != F.col("b.pos")) & ~F.arrays_overlap("a.sources", "b.sources")
         & publisher_agrees(F.col("a.publisher_keys"), F.col("b.publisher_keys")) & ~pages_disagree(F.col("a.pages"), F.col("b.pages"))
     )
-    on = (F.col("a.language") == F.col("b.language")) & (F.col("a.year") == F.col("b.year"))
-    return a.join(b, on & tests).select(F.col("a.edition_id").alias("a"), F.col("b.edition_id").alias("b"), F.col("a.language").alias("language"), F.col("a.year").alias("year"))
+    on = (F.col("a.language") == F.col("b.language")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.word") == F.col("b.word"))
+    ahead = F.col("a.pos") < F.col("b.pos")
+    first, second = (F.when(x, F.col("a.edition_id")).otherwise(F.col("b.edition_id")) for x in (ahead, ~ahead))
+    return a.join(b, on & tests).select(first.alias("a"), second.alias("b"), F.col("a.language").alias("language"), F.col("a.year").alias("year")).distinct()
 
 
 def newest_first(rows: DataFrame, group: str, year: str, arrival: str, name: str = "place") -> DataFrame:

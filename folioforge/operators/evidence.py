@@ -42,11 +42,15 @@ def credited_to_another(authors: Column, author_tokens: Column, form_tokens: Col
     return F.when((F.size(authors) > 0) & (F.size(form_tokens) > 0) & ~known, author_display(authors[0]))
 
 
-def work_language_contradicted(records: DataFrame, language: str, affinity: str, threshold: float = 0.6) -> Column | bool:
-    """Records in the stated language exist, and none of those that aren't translations carries the title."""
-    own = records.where((F.col("language") == language) & ~F.col("translated"))
-    row = own.agg(F.count("*").alias("n"), F.max(affinity).alias("best")).first()
-    return row["n"] > 0 and row["best"] < threshold
+def work_language_contradicted(records: DataFrame, work: str, affinity: str, same_letters: str, threshold: float = 0.6) -> DataFrame:
+    """(work, contradicted): records in the stated language exist, and none that isn't a translation carries the work's title.
+
+    Rows are the records filed under the stated language: ``affinity`` to the work's
+    title, ``translated``, and ``same_letters``, whether the titles agree without blanks.
+    """
+    carries = (F.col(affinity) >= threshold) | F.col(same_letters)
+    own = records.where(~F.col("translated")).groupBy(work).agg(F.bool_or(carries).alias("carried"))
+    return records.select(work).distinct().join(own, work, "left").select(work, (~F.coalesce("carried", F.lit(True))).alias("contradicted"))
 
 
 def add_author(names: Column) -> Column:
@@ -109,14 +113,3 @@ def origin_phrase(original_year: Column, language_name: Column, first_seen: Colu
         .when(language_name.isNotNull(), F.concat(F.lit("originally in "), language_name))
         .when(first_seen.isNotNull(), F.concat(F.lit("earliest edition found: "), first_seen.cast("string")))
     )
-
-
-def listed(names: Column) -> Column:
-    """'a, b and c'."""
-    most = F.array_join(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), ", ")
-    return F.when(F.size(names) > 1, F.concat(most, F.lit(" and "), F.element_at(names, -1))).otherwise(F.array_join(names, ""))
-
-
-def incomplete(failed: Column) -> Column:
-    one = F.when(failed == 1, "1 request failed").otherwise(F.concat(failed.cast("string"), F.lit(" requests failed")))
-    return F.when(failed > 0, F.concat(one, F.lit("; the list may be incomplete")))

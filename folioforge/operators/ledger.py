@@ -12,7 +12,7 @@ def slow_causes(calls: DataFrame, slow_after: float = 10.0) -> DataFrame:
     count = lambda c: F.sum(c.cast("int")).cast("long")
     return calls.groupBy("source").agg(
         F.count("*").alias("requests"), F.sum("seconds").alias("seconds"), count(F.col("error").isNotNull()).alias("failed"), count(slow).alias("slow"),
-    )
+    ).orderBy(F.desc("seconds"), "source")
 
 
 def source_states(states: DataFrame, failed: DataFrame) -> DataFrame:
@@ -36,12 +36,6 @@ def contradicted(records: DataFrame, answers: DataFrame, id_: str, year: str) ->
     return filed.join(right, id_, "left_anti").groupBy(id_, year).agg(F.array_join(F.sort_array(F.collect_set(F.col("filed").cast("string"))), ",").alias("filed"))
 
 
-def truncations(caps: DataFrame) -> DataFrame:
-    """One line for each cap that was hit: what, read, total."""
-    text = F.format_string("%s: read %d of %d", "what", "read", "total")
-    return caps.where(F.col("read") < F.col("total")).select("stage", "what", text.alias("line")).orderBy("stage", "what")
-
-
 def reason(*tests: tuple[Column, str]) -> Column:
     """The first reason that holds; null if none does."""
     out = F.lit(None).cast("string")

@@ -16,10 +16,24 @@ def first_of(c: str, seq: str, when: Column) -> Column:
     return F.min_by(F.when(when, F.col(c)), F.when(when, F.col(seq)))
 
 
-def ordered_union(c: str, seq: str) -> Column:
-    """Items of an array column over rows in arrival order, each once."""
-    lists = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(c).alias("v")))))
-    return F.array_distinct(F.flatten(F.transform(lists, lambda x: x["v"])))
+def united(rows: DataFrame, keys: Sequence[str], c: str, seq: str) -> DataFrame:
+    """(keys, c): the items of an array column over the rows of a key in arrival order, each once.
+
+    Items are made distinct before they are collected, so a key with very many rows is small.
+    """
+    each = rows.select(*keys, F.col(seq).alias("__s"), F.posexplode(c).alias("__p", "__v"))
+    first = each.groupBy(*keys, "__v").agg(F.min(F.struct("__s", "__p")).alias("__at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda x: x["__v"]).alias(c))
+
+
+def with_united(out: DataFrame, rows: DataFrame, keys: Sequence[str], lists: Sequence[str], seq: str) -> DataFrame:
+    """``out`` (one row a key) with the united arrays; empty where a key has none."""
+    kinds = dict(rows.dtypes)
+    for c in lists:
+        more = united(rows, keys, c, seq).withColumnsRenamed({k: f"__{k}" for k in keys})
+        on = [out[k].eqNullSafe(more[f"__{k}"]) for k in keys]
+        out = out.join(more, on, "left").drop(*[f"__{k}" for k in keys]).withColumn(c, F.coalesce(c, F.array().cast(kinds[c])))
+    return out
 
 
 def upsert(
@@ -35,11 +49,10 @@ def upsert(
     any_ = F.lit(True)
     admitted = ~F.col(refused) if refused else any_
     aggs = [first_of(c, seq, present(F.col(c), kinds[c])).alias(c) for c in scalars]
-    aggs += [ordered_union(c, seq).alias(c) for c in lists]
     aggs += [F.coalesce(first_of(c, seq, admitted), first_of(c, seq, any_)).alias(c) for c in provenance]
     if refused:
         aggs.append(F.bool_and(refused).alias(refused))
-    return sightings.groupBy(*keys).agg(F.min(seq).alias(seq), F.count("*").alias("routes"), *aggs)
+    return with_united(sightings.groupBy(*keys).agg(F.min(seq).alias(seq), F.count("*").alias("routes"), *aggs), sightings, keys, lists, seq)
 
 
 def coverage(sightings: DataFrame, records: DataFrame, dimensions: dict[str, str], refused: str) -> DataFrame:

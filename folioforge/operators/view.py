@@ -27,34 +27,26 @@ def facets(editions: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def earliest(editions: DataFrame, group: str, original_year: str, original_language: str) -> DataFrame:
-    """Per group the earliest year not before the original, its languages, the lead row and how many older rows were left out."""
+    """Per group the earliest year not before the original, its languages, the lead row and how many older rows were left out.
+
+    A group of which all dated rows are older has no year, but their number.
+    """
     old = F.col("year") < F.col(original_year)
     dated = editions.where(F.col("year").isNotNull()).withColumn("old", F.coalesce(old, F.lit(False)))
     first = dated.groupBy(group).agg(F.min(F.when(~F.col("old"), F.col("year"))).alias("first"), F.sum(F.col("old").cast("int")).cast("long").alias("older_dropped"))
     at = dated.join(first, group).where(~F.col("old") & (F.col("year") == F.col("first")))
     own = F.coalesce(F.col("language") == F.col(original_language), F.lit(False))
-    return at.groupBy(group, "first", "older_dropped").agg(
-        F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"), F.min_by("seq", F.struct(~own, "seq")).alias("lead_seq"),
-    ).withColumnRenamed("first", "year")
-
-
-def commonest(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """The mode of each group, ties to the first in the alphabet."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    return n.withColumn("p", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), value))).where("p = 1").select(group, value, "n")
-
-
-def choices(editions: DataFrame, group: str, title: str, year: str) -> DataFrame:
-    """Books to choose from, if there are two or more: editions, commonest title, first and last year."""
-    g = editions.groupBy(group).agg(F.count("*").alias("editions"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
-    out = g.join(commonest(editions, group, title).select(group, title), group)
-    return out.withColumn("books", F.count("*").over(Window.partitionBy())).where("books > 1").drop("books")
+    lead = at.groupBy(group).agg(F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"), F.min_by("seq", F.struct(~own, "seq")).alias("lead_seq"))
+    return first.withColumnRenamed("first", "year").join(lead, group, "left")
 
 
-def loose_band(rows: DataFrame, group: Column) -> DataFrame:
-    """Refused records in groups: best score first, dated before undated, newest first, then id."""
-    order = Window.partitionBy("band").orderBy(F.desc("score"), F.col("year").isNull(), F.desc("year"), "id")
-    return rows.where("refused").withColumn("band", group).withColumn("place", F.row_number().over(order))
+def choices(editions: DataFrame, lookup: str, group: str, title: str, year: str) -> DataFrame:
+    """A lookup's books to choose from, if there are two or more: editions, commonest title, first and last year."""
+    g = editions.groupBy(lookup, group).agg(F.count("*").alias("editions"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    n = editions.where(F.col(title).isNotNull()).groupBy(lookup, group, title).agg(F.count("*").alias("n"))
+    named = n.groupBy(lookup, group).agg(F.min_by(title, F.struct(-F.col("n"), title)).alias(title))
+    out = g.join(named, [lookup, group])
+    return out.withColumn("books", F.count("*").over(Window.partitionBy(lookup))).where("books > 1").drop("books")
 
 
 def ledger_lines(coverage: DataFrame, lines: dict[str, str], rest: str = "other") -> DataFrame:

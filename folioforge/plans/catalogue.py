@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions import dates, isbn, langs, publishers, text
+from folioforge.functions import dates, isbn, langs, publishers, text, wording
 from folioforge.operators import authors, editions, evidence, filters, gates, ledger, simjoin, store, view
-from folioforge.operators.components import by_shared_key, containment_groups
+from folioforge.operators.components import by_shared_key, containment_groups, containment_pairs
 from folioforge.plans import records as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,9 +138,9 @@ def top_k_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {R.SQL}, w AS (SELECT *, 1992 + work % 4 AS original_year, 'NATION_7' AS original FROM rec),
 f AS (SELECT work, min(year) FILTER (year >= original_year) AS year, count(*) FILTER (year < original_year) AS older_dropped FROM w GROUP BY work)
-SELECT w.work, f.year, f.older_dropped, string_agg(DISTINCT language, ',' ORDER BY language) AS languages,
+SELECT f.work, f.year, f.older_dropped, string_agg(DISTINCT language, ',' ORDER BY language) AS languages,
   arg_min(id, (CASE WHEN language = 'NATION_7' THEN '0' ELSE '1' END) || id) AS lead_seq
-FROM w JOIN f ON w.work = f.work AND w.year = f.year WHERE w.year >= original_year GROUP BY ALL""")
+FROM f LEFT JOIN w ON w.work = f.work AND w.year = f.year AND w.year >= original_year GROUP BY ALL""")
 def earliest_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = R.records(spark, sf_dir).withColumns({"original_year": long(F.lit(1992) + F.col("work") % 4), "original": F.lit("NATION_7"), "seq": F.col("id")})
     return view.earliest(rec, "work", "original_year", "original")
@@ -164,10 +164,8 @@ def publisher_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = R.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     names = part.select(F.col("p_name").alias("n")).union(part.where("p_partkey % 5 = 0").select(F.concat_ws(" ", "p_name", "p_type")))
     names = names.union(part.select(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2))))).distinct()
-    t = names.withColumn("t", F.array_distinct(F.split(F.lower("n"), " ")))
-    a, b = t.withColumn("w", F.explode("t")), t.toDF("m", "u").withColumn("w", F.explode("u"))
-    pairs = a.join(b, "w").where((F.col("n") < F.col("m")) & publishers.publisher_agrees(F.array("t"), F.array("u")))
-    return pairs.select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
+    pairs = containment_pairs(names.withColumn("t", F.array_distinct(F.split(F.lower("n"), " "))), "n", "t")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 @query(f"""WITH {R.SQL}, e AS (SELECT coalesce(isbn, source || ':' || id) AS edition_id, arg_min(id, id) AS pos, arg_min(language, id) AS language, min(year) AS year,
@@ -197,12 +195,17 @@ def page_disagree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text and similarity ----------------------------------------------------------------------
 
-_STOP = ", ".join(f"'{w}'" for w in sorted(text.STOPWORDS))
+#: The stop words as the SQL knows them.
+_STOP = "', '".join(
+    "the a an of and or in on to for is at by with from as its that this into about be are was were it his her their how la le lo il gli un una uno di del dei degli "
+    "della delle dello al alla alle ai agli allo dal dalla dalle dai dagli nel nella nelle nei negli sul sulla sulle sui sugli con per tra fra che non ed come "
+    "les des du de en sur essai el los las y".split()
+)
 
 
 def _sql_tokens(column: str) -> str:
     ascii_ = f"regexp_replace(strip_accents({column}), '[^\\x00-\\x7F]', '', 'g')"
-    return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({ascii_}), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))))"
+    return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({ascii_}), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ('{_STOP}'))))"
 
 
 @query(f"SELECT doc_id, array_to_string({_sql_tokens('text')}, ' ') AS tokens FROM documents")
@@ -341,24 +344,25 @@ def year_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.table(spark, sf_dir, "events").select("event_id", dates.year_of(s).alias("year"))
 
 
-@query("""WITH s AS (SELECT event_id, 1900 + event_id % 90 AS y, 1901 + event_id % 7 AS z, event_id % 8 AS k FROM events)
-SELECT event_id, CASE k WHEN 0 THEN y::VARCHAR WHEN 2 THEN y::VARCHAR WHEN 3 THEN y::VARCHAR WHEN 5 THEN z2 END AS year,
-  CASE k WHEN 1 THEN 'no date' WHEN 4 THEN 'unsure' WHEN 5 THEN 'inferred' WHEN 6 THEN 'unchecked' WHEN 7 THEN 'unsure' END AS note
-FROM (SELECT *, (y + 3)::VARCHAR AS z2 FROM s)""")
+@query("""WITH s AS (SELECT event_id, 1900 + event_id % 90 AS y, event_id % 12 AS k FROM events)
+SELECT event_id, CASE WHEN k IN (0, 2, 3, 8, 9) THEN y::VARCHAR WHEN k = 5 THEN (y + 3)::VARCHAR END AS year,
+  CASE k WHEN 1 THEN 'no date' WHEN 4 THEN 'unsure' WHEN 5 THEN 'inferred' WHEN 6 THEN 'unchecked' WHEN 7 THEN 'unsure' WHEN 8 THEN 'printed' WHEN 10 THEN 'other calendar' WHEN 11 THEN 'unsure' END AS note,
+  CASE k WHEN 4 THEN (y - 2) || ',' || y WHEN 6 THEN y || ',' || (y + 3) WHEN 7 THEN 'anno III' WHEN 8 THEN (y + 1)::VARCHAR WHEN 10 THEN '1333' WHEN 11 THEN y || ',' || (y + 5) || ',' || (y + 9) ELSE '' END AS shown FROM s""")
 def settle_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of the decision table for each remainder of the event id."""
+    """One case of the decision table for each remainder of the event id."""
     i = F.col("event_id")
     y = i % 90 + 1900
     t = lambda c: c.cast("string")
-    none = F.lit(None).cast("array<string>")
+    none, nil, both = F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.concat(t(y), F.lit(" "), t(y + 3))
     cases = [  # year, statement, index, failed
-        (t(y), F.lit(None), none, False), (F.lit(None), F.lit(None), none, False), (F.lit(None), t(y), none, False), (F.lit(None), t(y), F.array(t(y)), False),
-        (F.lit(None), t(y), F.array(t(y + 2)), False), (F.lit(None), F.concat(t(y), F.lit(" "), t(y + 3)), F.array(t(y + 3)), False),
-        (F.lit(None), F.concat(t(y), F.lit(" "), t(y + 3)), F.array().cast("array<string>"), True), (F.lit(None), F.lit("anno III"), none, False),
+        (t(y), nil, none, False), (nil, nil, none, False), (nil, t(y), none, False), (nil, t(y), F.array(t(y)), False), (nil, t(y), F.array(t(y - 2)), False),
+        (nil, both, F.array(t(y + 3)), False), (nil, both, F.array().cast("array<string>"), True), (nil, F.lit("anno III"), none, False),
+        (nil, F.concat(t(y), F.lit(", stampa "), t(y + 1)), F.array(t(y + 1)), False), (nil, both, F.array(t(y)), False), (nil, F.lit("1333 h."), none, False),
+        (nil, F.concat(t(y + 9), F.lit(" "), t(y)), F.array(F.concat_ws("-", t(y + 5), t(y + 5))), False),
     ]
-    pick = lambda k: F.element_at(F.array(*[c[k] for c in cases]), (i % 8 + 1).cast("int"))
-    got = dates.settle(pick(0).cast("string"), pick(1).cast("string"), pick(2), F.element_at(F.array(*[F.lit(c[3]) for c in cases]), (i % 8 + 1).cast("int")), 2026)
-    return R.table(spark, sf_dir, "events").select("event_id", got.alias("s")).select("event_id", "s.year", "s.note")
+    pick = lambda k: F.element_at(F.array(*[c[k] if k < 3 else F.lit(c[k]) for c in cases]), (i % 12 + 1).cast("int"))
+    rows = R.table(spark, sf_dir, "events").select("event_id", pick(0).alias("y"), pick(1).alias("s"), pick(2).alias("i"), pick(3).alias("f"))
+    return dates.settle_rows(rows, "y", "s", "i", "f", 2026).select("event_id", "settled.year", "settled.note", F.array_join("settled.shown", ",").alias("shown"))
 
 
 @query("""WITH o AS (SELECT year(o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT year(l_shipdate)::INT AS y, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
@@ -377,11 +381,8 @@ def contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.contradicted(o, filed, "id", "year")
 
 
-_TWO = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in langs.TWO.items())
-
-
-@query(f"""SELECT lang, code, count(*) AS n, CASE code WHEN 'eng' THEN 'inglese' WHEN 'fre' THEN 'francese' WHEN 'ger' THEN 'tedesco' WHEN 'spa' THEN 'spagnolo' ELSE 'lingua non indicata' END AS name FROM
-(SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE CASE lang {_TWO} ELSE 'unknown' END END AS code FROM documents) GROUP BY ALL""")
+@query("""SELECT lang, code, count(*) AS n, CASE code WHEN 'eng' THEN 'inglese' WHEN 'fre' THEN 'francese' WHEN 'ger' THEN 'tedesco' WHEN 'spa' THEN 'spagnolo' WHEN 'ita' THEN 'italiano' ELSE 'lingua non indicata' END AS name FROM
+(SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fre' WHEN 'de' THEN 'ger' WHEN 'es' THEN 'spa' WHEN 'it' THEN 'ita' ELSE 'unknown' END END AS code FROM documents) GROUP BY ALL""")
 def language_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = langs.from_two_letter(F.when(F.col("doc_id") % 9 == 0, F.lit("und")).otherwise(F.concat("lang", F.lit("-x"))))
     d = R.table(spark, sf_dir, "documents").select("lang", code.alias("code"))
@@ -423,16 +424,6 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.ledger_lines(counts, {"view": "seen", "click": "opened"})
 
 
-@query("""WITH r AS (SELECT doc_id AS id, (doc_id * 37 % 100) / 100.0::DOUBLE AS score, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 1900 + doc_id % 120 END AS year, CASE WHEN doc_id % 2 = 0 THEN 'swept' ELSE 'matched' END AS band FROM documents)
-SELECT id, score::DOUBLE AS score, year, band, row_number() OVER (PARTITION BY band ORDER BY score DESC, year IS NULL, year DESC, id)::INT AS place FROM r""")
-def loose_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    rows = R.table(spark, sf_dir, "documents").select(
-        i.alias("id"), ((i * 37 % 100) / 100.0).alias("score"), F.when(i % 6 == 0, None).otherwise(i % 120 + 1900).alias("year"), F.lit(True).alias("refused"),
-    )
-    return view.loose_band(rows, F.when(F.col("id") % 2 == 0, "swept").otherwise("matched")).drop("refused")
-
-
 @query("""WITH c AS (SELECT event_type AS source, (event_id % 40)::DOUBLE AS seconds, CASE WHEN event_id % 17 = 0 THEN 'timeout' END AS error, CASE WHEN event_id % 3 = 0 THEN (event_id % 12)::DOUBLE END AS waited FROM events),
 g AS (SELECT source, count(*) AS requests, sum(seconds) AS seconds, count(error) AS failed, count(*) FILTER (seconds - coalesce(waited, 0) > 10) AS slow FROM c GROUP BY source)
 SELECT *, CASE WHEN failed > 0 THEN 'partial (' || failed || ' failed)' ELSE 'ok' END AS state FROM g""")
@@ -472,10 +463,12 @@ def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("version", "event_type").agg(F.coalesce(F.sum("sightings"), F.lit(0)).alias("sightings"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
 
 
-@query(f"""WITH {R.SQL}, g AS (SELECT work, count(*) AS editions, min(year) AS first_year, max(year) AS last_year FROM rec GROUP BY work), n AS (SELECT work, publisher || ' ' || language AS title, count(*) AS n FROM rec GROUP BY ALL)
-SELECT g.*, (SELECT first(title ORDER BY n DESC, title) FROM n WHERE n.work = g.work) AS title FROM g""")
+@query(f"""WITH {R.SQL}, g AS (SELECT lookup, language, count(*) AS editions, min(year) AS first_year, max(year) AS last_year FROM rec GROUP BY ALL),
+n AS (SELECT lookup, language, publisher AS title, count(*) AS n FROM rec GROUP BY ALL), b AS (SELECT lookup FROM g GROUP BY lookup HAVING count(*) > 1)
+SELECT g.*, (SELECT first(title ORDER BY n DESC, title) FROM n WHERE n.lookup = g.lookup AND n.language = g.language) AS title FROM g JOIN b USING (lookup)""")
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.choices(R.records(spark, sf_dir).withColumn("title", F.concat_ws(" ", "publisher", "language")), "work", "title", "year")
+    """The books of each lookup that has several."""
+    return view.choices(R.records(spark, sf_dir).drop("title").withColumnRenamed("publisher", "title"), "lookup", "language", "title", "year")
 
 
 @query("""WITH r AS (SELECT o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'unsure' WHEN 1 THEN 'printed' WHEN 2 THEN 'inferred' WHEN 3 THEN 'no date' END AS note FROM orders)
@@ -573,17 +566,12 @@ def place_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.place_language(rows, "title", "language")[0].select("doc_id", "language")
 
 
-@query("""SELECT n_name, count(*) AS failed, CASE WHEN count(*) = 1 THEN '1 request failed' ELSE count(*) || ' requests failed' END || '; the list may be incomplete' AS note
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 GROUP BY n_name""")
-def incomplete_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n = R.table(spark, sf_dir, "customer").where("c_acctbal < 0"), R.table(spark, sf_dir, "nation")
-    failed = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("failed"))
-    return failed.withColumn("note", evidence.incomplete(F.col("failed")))
-
-
 @query("""WITH s AS (SELECT DISTINCT o_custkey, o_orderpriority AS p FROM orders), l AS (SELECT o_custkey, list_sort(list(p)) AS ps FROM s GROUP BY o_custkey)
 SELECT o_custkey, CASE WHEN len(ps) > 1 THEN array_to_string(ps[1:len(ps) - 1], ', ') || ' and ' || ps[len(ps)] ELSE ps[1] END AS names FROM l""")
 def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = R.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ps"))
-    return o.select("o_custkey", evidence.listed(F.col("ps")).alias("names"))
+    return o.select("o_custkey", wording.listed(F.col("ps")).alias("names"))
+
+
 
+from folioforge.plans import judged  # noqa: E402, F401 registers its queries

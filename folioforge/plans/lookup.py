@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import dates, isbn, publishers, text
 from folioforge.operators import editions, gates, simjoin, store, view
+from folioforge.operators import rows as rows_
 
 
 @dataclass(frozen=True)
@@ -68,8 +69,9 @@ def held_records(sightings: DataFrame) -> DataFrame:
 def snapshot(sightings: DataFrame, work: Work, this_year: int) -> dict[str, DataFrame]:
     """The view's parts: editions, spans, facets, earliest, coverage, band and hints."""
     records = held_records(judge(sightings, work))
-    got = dates.settle(F.col("year"), F.col("date"), F.lit(None).cast("array<string>"), F.lit(False), this_year)
-    records = records.withColumn("s", got).withColumn("year", F.col("s.year")).withColumn("year_note", F.col("s.note")).drop("s")
+    asked = records.withColumns({"date_indexed": F.lit(None).cast("array<string>"), "date_check_failed": F.lit(False)})
+    settled = dates.settle_rows(asked, "year", "date", "date_indexed", "date_check_failed", this_year)
+    records = settled.withColumns({"year": F.col("settled.year"), "year_note": F.col("settled.note"), "years_shown": F.col("settled.shown"), "lookup": F.lit(1), "url": F.lit(None).cast("string")}).drop("settled", "date_indexed", "date_check_failed")
     folded = editions.fold(records.where("not refused")).withColumn("isbn", F.try_element_at("codes", F.lit(1)))
     rows = editions.edition_fields(folded)
     notes = view.row_note(folded, "edition_id", "year_note", dates.SEVERITY)
@@ -83,6 +85,6 @@ def snapshot(sightings: DataFrame, work: Work, this_year: int) -> dict[str, Data
         "facets": view.facets(facet, "publisher_id", "publisher"),
         "earliest": view.earliest(dated, "all", "original_year", "original"),
         "coverage": store.coverage(sightings.withColumn("refused", F.lit(False)), records, {"source": "source", "route": "route", "evidence": "evidence"}, "refused"),
-        "band": view.loose_band(records, F.when(F.col("route") == "author sweep", "swept").otherwise("matched")),
+        "band": rows_.band_rows(records),
         "hints": editions.collisions(keys),
     }

@@ -51,10 +51,18 @@ def test_isbn(spark):
 ])
 def test_settle(spark, year, statement, indexed, failed, expected):
     row = spark.createDataFrame([(year, statement, indexed, failed)], "y string, s string, i array<string>, f boolean")
-    got = row.select(dates.settle(F.col("y"), F.col("s"), F.col("i"), F.col("f"), 2026).alias("x")).first()["x"]
+    got = dates.settle_rows(row, "y", "s", "i", "f", 2026).first()["settled"]
     assert (got["year"], got["note"]) == expected
 
 
+def test_index_values(spark):
+    row = spark.createDataFrame([(["2007", " 1977 - 1991 ", "ca 1977 x", "199u"], "1980 1990", "1980-1990")], "v array<string>, a string, b string").select(
+        dates.indexed_years(F.col("v")), dates.covers(F.col("a"), F.lit(1985)), dates.covers(F.col("b"), F.lit(1985)), dates.covers(F.col("a"), F.lit(1980)), dates.bracketed(F.lit("1386 [2007, 2008] <1999>")),
+        dates.needs_check(F.lit("SBN"), F.lit("[1999?] 2001"), 2026), dates.needs_check(F.lit("SBN"), F.lit("1999"), 2026), dates.plain_year(F.lit("c1999"), 2026),
+    ).first()
+    assert list(row) == [[2007, 1977, 1991], False, True, False, [2007, 2008, 1999], True, False, 1999]
+
+
 def test_stated_when(spark):
     rows = spark.createDataFrame([(1320, 8), (1850, 7), (1999, 9), (-20, 9), (1900, 6), (1101, 7)], "y int, p int")
     assert [r[0] for r in rows.select(dates.stated_when(F.col("y"), F.col("p"))).collect()] == ["1999"] * 0 + ["in the 1320s", "in the 19th century", "1999", "20 BCE", None, "in the 12th century"]
@@ -63,12 +71,37 @@ def test_stated_when(spark):
 @pytest.mark.parametrize(("raw", "expected"), [
     ("Milano : Bompiani, 1980", ("Bompiani", "1980", "Milano")), ("Torino : Einaudi, [1994]", ("Einaudi", "1994", "Torino")), ("157 p. ; 21 cm", (None, None, None)),
     ("Ankara : 1001 Çiçek kitaplar, 2015", ("1001 Çiçek kitaplar", "2015", "Ankara")), ("2. ed. Milano : Mondadori, 1950", ("Mondadori", "1950", "Milano")),
+    ("Milano : Bompiani, [19..]", ("Bompiani", None, "Milano")), ("Palermo : Sellerio, [198.?]", ("Sellerio", None, "Palermo")), ("Milano : A. Mondadori, 2. rist. 1990", ("A. Mondadori", "1990", "Milano")),
+    ("Yerushalaim : Kitab, c5760 [i.e. 1999/00]", ("Kitab", "1999", "Yerushalaim")), ("1 compact disc", (None, None, None)), ("Torino : Einaudi. - volumi 3", ("Einaudi", None, "Torino")),
+    ("[Los Angeles : Virgin records America, CA], 1997", ("Virgin records America, CA", "1997", "Los Angeles")), ("R. Piper & Co., München: 1980", ("R. Piper & Co., München", "1980", None)),
+    (", 154. ed. ; Paris : Gallimard, 1929 [ristampa 1949]", ("Gallimard", "1929", "Paris")), ("Edizione abbreviata, Milano : Hoepli, 1893", ("Hoepli", "1893", "Edizione abbreviata, Milano")),
+    ("Torino : Einaudi, [197...] ; Edito : Ginevra, [197...]", ("Einaudi ; Edito : Ginevra", None, "Torino")), ("12. rist", (None, None, None)), (", [tra il 1970 e il 1990]", (None, "1970", None)),
     ("Roma : Laterza, s.d.", ("Laterza", None, "Roma")), ("Roma : Rizzoli, dopo il 1920", ("Rizzoli", "1920", "Roma")), (None, (None, None, None)),
 ])
 def test_imprint(raw, expected):
     assert imprint.parse(raw)[:3] == expected
 
 
+@pytest.mark.parametrize(("raw", "expected"), [
+    ("Tihran : Aryaban, 1386 [2007!", "1386 [2007]"), ("Torino : Einaudi, 1971, stampa 1978 - 221 p. ; 20 cm.", "1971, stampa 1978"), ("Roma : X, [tra il 1970 e il 1990]", "[tra il 1970 e il 1990]"), ("Roma : X", None),
+])
+def test_date_statement(raw, expected):
+    assert imprint.parse(raw)[3] == expected
+
+
+def test_names_and_labels(spark):
+    row = spark.createDataFrame([(["[Autore]  Rossi", "Bianchi", " "], "Einaudi : Utet ; Roma : Laterza ; in association with Secker", ["A ; B", "C : D"])], "n array<string>, p string, q array<string>").select(
+        imprint.labelled(F.col("n")), publishers.publisher_names(F.col("p")), publishers.listed_publishers(F.col("q")),
+    ).first()
+    assert [tuple(x) for x in row[0]] == [("Autore", "Rossi"), ("", "Bianchi")] and row[1] == ["Einaudi", "Utet", "Laterza", "Secker"] and row[2] == ["A", "B", "C", "D"]
+
+
+@pytest.mark.parametrize("title", ["L’été à Paris", "Łódź æ ß Ø İstanbul", "e\u0301cole ﬁn", "Ὀδύσσεια x", "NAÏVE ½ ª", "北京 abc", "a–b…c"])
+def test_tokens_are_the_same_in_both_ways(spark, title):
+    got = spark.createDataFrame([(title,)], "t string").select(text.normalize("t")).first()[0]
+    assert got == text.tokens_of(title)
+
+
 def test_publishers(spark):
     assert publishers.key_of("Giulio Einaudi editore") == ["einaudi", "giulio"] and publishers.key_of("Edizioni e/o") == ["eo"] and publishers.key_of("Press & Co.") == []
     a = spark.createDataFrame([([["einaudi"]], [["einaudi", "giulio"]], [100], [105]), ([["einaudi"]], [["laterza"]], [100], [150]), ([[]], [["x"]], [], [1])], "a array<array<string>>, b array<array<string>>, p array<int>, q array<int>")

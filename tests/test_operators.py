@@ -84,7 +84,7 @@ def test_lookup_snapshot(spark):
 
 
 def test_recorded_catalogue(spark, tmp_path):
-    for k, p, body in (("q", 1, {"data": {"total": 2, "results": [{"id": "ABC0123456", "type": "testo", "title": {"text": "{Opere}1. Uno / di X"}, "infos": ["Milano : Bompiani, 1980"]}, {"id": "?"}]}}), ("q", 2, {"error": {"msg": "down"}})):
+    for k, p, body in (("q", 1, {"data": {"total": 2, "results": [{"id": "ABC0123456", "type": "testo", "title": {"info": "{Opere}1. Uno / di X", "text": "X, Y"}, "infos": ["12. rist", "Testo - Monografia [IT\\ICCU\\X]", "Milano : Bompiani, 1980"]}, {"id": "?"}]}}), ("q", 2, {"error": {"msg": "down"}})):
         with gzip.open(tmp_path / f"{k}-{p}.json.gz", "wt") as f:
             json.dump(body, f)
     (tmp_path / "manifest.json").write_text(json.dumps({"pages": {"q": 2}}))
@@ -93,14 +93,14 @@ def test_recorded_catalogue(spark, tmp_path):
     assert {(r["page"], r["error"]) for r in got.collect()} == {(1, None), (2, "down")}
     assert [r["page"] for r in got.where("page = 2").collect()] == [2]
     rec = parse.listing_records(got.where("error is null"), "ita").collect()
-    assert [(r["id"], r["title"], r["publisher"], r["year"]) for r in rec] == [("ABC0123456", "Opere. 1. Uno", "Bompiani", "1980")]
+    assert [(r["id"], r["title"], r["publisher"], r["year"], r["authors"], r["medium"], r["level"], r["places"]) for r in rec] == [("ABC0123456", "Opere. 1. Uno", "Bompiani, Milano", "1980", ["X, Y"], "testo", "Monografia", ["Milano"])]
     assert catalogue.request_key("u", {"b": 1, "a": 2}) == catalogue.request_key("u", {"a": 2, "b": 1})
 
 
 def test_raw_bodies(spark):
     brief = json.dumps({"codiceIdentificativo": "IT\\ICCU\\CFI\\0123456", "titolo": "Opera / di A", "pubblicazione": "Roma : Laterza, 1999", "nomi": ["[Autore] Rossi, A", "[Traduttore] Bianchi"], "linguaPubblicazione": "ITALIANO", "classificazioneDewey": "853.914 (21.)"})
     r = parse.brief_records(spark.createDataFrame([(brief,)], "body string")).first()
-    assert (r["id"], r["title"], r["publisher"], r["year"], r["language"], r["authors"], r["translators"], r["dewey"]) == ("CFI0123456", "Opera", "Laterza", "1999", "ita", ["Rossi, A"], ["Bianchi"], "853.914")
+    assert (r["id"], r["title"], r["publisher"], r["year"], r["language"], r["authors"], r["translators"], r["dewey"]) == ("CFI0123456", "Opera", "Laterza, Roma", "1999", "ita", ["Rossi, A"], ["Bianchi"], "853.914")
     item = json.dumps({"labels": {"it": {"value": "Rosa"}, "xx": {"value": "R"}}, "claims": {"P577": [{"rank": "normal", "mainsnak": {"datavalue": {"value": {"time": "+1980-00-00T00:00:00Z", "precision": 9}}}}], "P31": [{"mainsnak": {"datavalue": {"value": {"id": "Q7725634"}}}}]}})
     e = parse.entities(spark.createDataFrame([("Q1", item)], "qid string, body string")).first()
     assert (e["labels"], e["original_year"], e["precision"], e["kinds"]) == ({"it": "Rosa"}, 1980, 9, ["Q7725634"])
