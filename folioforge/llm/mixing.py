@@ -144,6 +144,7 @@ class Mix:
         inner = found.where(~at_edge).withColumn("copies", F.col("epochs") + F.coalesce(whole, F.lit(False)).cast("long")).select(*out)
         few = self.edge.withColumnsRenamed({"doc_id": "__id", "row": "__row"})
         edge = found.where(at_edge).join(few, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")), "left")
+        edge = edge.withColumns({"picked": F.coalesce("picked", F.lit(0)), "n": F.coalesce("n", F.lit(1))})
         sure = edge.where("picked = 0 or picked = n").withColumn("copies", F.col("epochs") + (F.col("picked") > 0).cast("long")).select(*out)
         # At most one group of equal rows a source is picked in part.
         some = C.written(edge.where("picked > 0 and picked < n").withColumn("__at", F.monotonically_increasing_id()), "parted")
