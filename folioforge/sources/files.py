@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = (
-    "query_title query_author source language title authors translators publisher year isbn series medium url"
+    "query_title query_author language title authors publisher year year_note isbn medium credited_to sources url"
 ).split()
 
 
@@ -22,7 +22,9 @@ def flat(results: DataFrame, questions: DataFrame, on: list[str]) -> DataFrame:
     """The fixed columns of a CSV; lists joined, and one row for a question without results."""
     kinds = dict(results.dtypes)
     joined = questions.join(results, on, "left")
-    pick = lambda c: F.array_join(c, "; ") if kinds.get(c, "").startswith("array") else F.col(c).cast("string")
+    note = F.nullif(F.concat_ws(" — ", "year_note.label", "year_note.shown"), F.lit(""))
+    lists = {"authors": "; ", "sources": ", "}
+    pick = lambda c: note if c == "year_note" and kinds.get(c, "").startswith("struct") else F.array_join(c, lists.get(c, "; ")) if kinds.get(c, "").startswith("array") else F.col(c).cast("string")
     return joined.select(*[pick(c).alias(c) if c in joined.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
 
 

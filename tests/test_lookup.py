@@ -247,3 +247,72 @@ def test_keyed_state_of_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     last = {r["key"]: (r["seq"], r["note"], r["route"], r["refused"], r["routes"]) for r in got}
     assert last == {"k": (1, "m", "c", False, 3), "j": (4, None, "d", True, 1)}
+
+
+def test_server(tmp_path):
+    import gzip
+    import urllib.error
+    import urllib.request
+
+    from folioforge.server import serve
+
+    (tmp_path / "index.html").write_text("page")
+    (tmp_path.parent / "secret.txt").write_text("no")
+    make = lambda q: Job(q | {"append": lambda j, keys: {"added": ",".join(keys)}}, [Stage("one", lambda j: {"SBN": "ok"}, True)], lambda j: {"q": j.question["title"], "long": "x" * 2000})
+    reg = Registry()
+    server = serve(reg, make, lambda job, key: {"id": key} if key == "e1" else None, port=0, root=tmp_path)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def call(path, data=None, **headers):
+        body = json.dumps(data).encode() if data is not None else None
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, body, headers), timeout=10) as r:
+                raw = r.read()
+                return r.status, gzip.decompress(raw) if r.headers.get("Content-Encoding") == "gzip" else raw
+        except urllib.error.HTTPError as e:
+            return e.code, e.read()
+
+    status, body = call("/lookup", {"title": "T", "variants": ["a"]})
+    key = json.loads(body)["id"]
+    assert status == 202 and json.loads(body)["poll"] == f"/lookup/{key}?v=0"
+    while not reg.get(key).done:
+        pass
+    got = json.loads(call(f"/lookup/{key}?v=0", **{"Accept-Encoding": "gzip"})[1])
+    assert got["snapshot"]["q"] == "T" and got["stage"] == "done" and json.loads(call(f"/lookup/{key}?v=1")[1])["unchanged"]
+    assert call(f"/lookup/{key}/edition/e1")[0] == 200 and call(f"/lookup/{key}/edition/x")[0] == 404 and call("/lookup/none?v=0")[0] == 404
+    assert json.loads(call(f"/lookup/{key}/add", {"keys": ["k"]})[1])["version"] == 2 and call(f"/lookup/{key}/add", {"keys": []})[0] == 400
+    assert call(f"/lookup/{key}/choose", {"ids": ["p"]})[0] == 409 and call(f"/lookup/{key}/more", {})[0] == 409
+    for bad in ({}, {"title": "T", "variants": ["x"] * 13}, {"title": "T", "title_spellings": 1}, ["no"]):
+        assert call("/lookup", bad)[0] == 400
+    assert call("/lookup", {"title": "T", "pad": "x" * 70_000})[0] == 400
+    assert call("/")[1] == b"page" and call("/..%2Fsecret.txt")[0] == 404 and json.loads(call("/health")[1])["ok"]
+    server.shutdown()
+    reg.close()
+
+
+def test_a_whole_run(spark, tmp_path):
+    from folioforge.__main__ import arguments, kept
+    from folioforge.plans.run import FRAMES, recorded, run_to_end
+    from folioforge.sources import files
+
+    put = lambda name, *data: spark.createDataFrame(list(data), FRAMES[name]).write.parquet(f"{tmp_path}/{name}")
+    row = lambda i, t, y, code, lang="ita": (1, 0, i, t, lang, [], [], None, "Bompiani", y, y, code, [code] if code else [], ["Eco, Umberto"], "testo", None, None, ["Bompiani"], ["Milano"])
+    put("questions", (1, "Il nome della rosa", "Eco"), (2, "Niente", "Nessuno"))
+    put("items", (1, 0, "Q1", True, False, True, 1.0, "Il nome della rosa"))
+    put("item_facts", ("Q1", "Il nome della rosa", "ita", 1980, (1980, 9), {"ita": "Il nome della rosa", "eng": "The Name of the Rose"}, ["Umberto Eco"]))
+    put("guards", (1, 0, "nome della rosa", "strong", False))
+    put("listing", (*row("a", "Il nome della rosa", "1980", "9788845207051"), "nome della rosa", 0), (*row("b", "Il nome della rosa", "1985", "88-452-0705-6"), "nome della rosa", 0))
+    put("probes", row("c", "The name of the rose", "1983", None, "eng"), row("d", "Baudolino", "2000", None))
+    parts = run_to_end(recorded(spark, str(tmp_path)), 2026)
+    got = {r["id"]: r for r in parts["rows"].collect()}
+    assert set(got) == {"9788845207051", "SBN:c"} and got["9788845207051"]["years_num"] == [1980, 1985] and got["9788845207051"]["printings"] == ["1980", "1985"]
+    assert [(s["language"], s["editions"], s["is_original"]) for s in parts["spans"].orderBy("place").collect()] == [("ita", 1, True), ("eng", 1, False)]
+    h = parts["headers"].where("lookup = 1").first()
+    assert (h["title"], h["authors"], h["earliest_year"], h["total_editions"], h["found"]) == ("Il nome della rosa", ["Umberto Eco"], 1980, 2, True)
+    assert [r["id"] for r in parts["band"].collect()] == ["d"] and {r["line"]: r["n"] for r in parts["ledger"].collect()}["linked to this work in SBN"] == 2
+    args = arguments([str(tmp_path), "--this-year", "2026", "--year-from", "1981"])
+    assert [r["id"] for r in kept(parts["rows"], args).collect()] == ["SBN:c"]
+    q = spark.createDataFrame([(1, "T", "A"), (2, "N", None)], "lookup long, query_title string, query_author string")
+    flat = files.flat(parts["rows"], q, ["lookup"]).orderBy("query_title", "title").collect()
+    assert len(flat) == 3 and flat[0]["title"] is None and flat[1]["sources"] == "SBN" and flat[1].asDict().keys() == set(files.COLUMNS)
