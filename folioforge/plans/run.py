@@ -39,7 +39,7 @@ def run_to_end(frames: dict[str, DataFrame], this_year: int) -> dict[str, DataFr
     """All stages, then the view: works, records, rows, headers, spans, publishers, band, ledger, notes and hints."""
     f = frames
     questions = identity.prepare(f["questions"])
-    works = written(stages.identify(questions, f["items"], f["guards"], f["docs"], f["people"], f["item_facts"]).withColumn("authors", F.col("item_authors")))
+    works = written(stages.identify(questions, f["items"], f["guards"], f["docs"], f["people"], f["item_facts"]).drop("title", "author", "notes").withColumn("authors", F.col("item_authors")))
     listed, n2, _ = stages.list_editions(works, f["listing"], f["whole"], f["editions"])
     first = written(listed)
     found, n3, _ = stages.recover(works, first, f["probes"], f["sweeps"], f["by_isbn"])
