@@ -441,8 +441,11 @@ def ngram_links(
     sketch = spark.sparkContext.broadcast(counts)
     cuts = spark.sparkContext.broadcast(pivots(counts, fragments))
     placed = prefix_rows(texts, width, percent, sketch, renumbered).repartition("token").dropDuplicates(["token", "set"])
-    placed = placed.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
-    tokens = C.written(placed, "tokens")
+    # Linked sets differ little in size, so a set stays at an n-gram only if the next smaller or larger one there may be linked by size.
+    by_size = Window.partitionBy("token").orderBy("n")
+    fits = lambda m: F.coalesce(F.abs(m - F.col("n")) <= F.floor((100 - percent) * (m + F.col("n")) / F.lit(100 + percent)), F.lit(False))
+    placed = placed.withColumns({"smaller": F.lag("n").over(by_size), "larger": F.lead("n").over(by_size)})
+    tokens = C.written(placed.where(fits(F.col("smaller")) | fits(F.col("larger"))).drop("smaller", "larger"), "tokens")
     # The leader of a token: of its sets the one that meets most others, relative to its size.
     weight = tokens.groupBy("set").agg((-F.count("*") / F.max("n")).cast("float").alias("place"))
     sets = C.written(docs.where("n > 0").groupBy("set").agg(F.first("parity").alias("parity"), F.first("fine").alias("fine")).join(weight, "set"), "met_sets")
