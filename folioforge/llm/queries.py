@@ -134,7 +134,7 @@ WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversat
 c AS (SELECT * FROM m WHERE role = 'user'),
 a AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant'),
 l AS (SELECT conv_id, max(turn) AS turn FROM c GROUP BY conv_id),
-x AS (SELECT conv_id, turn, 0 AS at, 'message' AS kind, 0 AS after_at, 0 AS level, NULL AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
+x AS (SELECT conv_id, turn, 0 AS place, 'message' AS kind, 0 AS after_at, 0 AS level, NULL AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
     '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}' AS j FROM m
   UNION ALL SELECT c.conv_id, c.turn, 0, 'call', 0, 0, c.turn::VARCHAR, a.turn IS NOT NULL, c.text <> '',
     '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"' || c.turn || '","name":"reply","type":"call"}'
@@ -143,6 +143,6 @@ x AS (SELECT conv_id, turn, 0 AS at, 'message' AS kind, 0 AS after_at, 0 AS leve
   UNION ALL SELECT a.conv_id, a.turn, 0, 'result', 0, 0, (a.turn - 1)::VARCHAR, c.turn IS NOT NULL, NULL,
     '{"content":' || to_json(a.text) || ',"id":"' || (a.turn - 1) || '","of_turn":' || coalesce(c.turn::VARCHAR, 'null') || ',"type":"result"}'
     FROM a LEFT JOIN c ON a.conv_id = c.conv_id AND a.turn = c.turn + 1)
-SELECT conv_id, turn, at, kind, turn AS after_turn, after_at, level, call_id, linked, valid, sha256(j) AS json_sha256 FROM x""",
+SELECT conv_id, turn, place AS "at", kind, turn AS after_turn, after_at, level, call_id, linked, valid, sha256(j) AS json_sha256 FROM x""",
     "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
