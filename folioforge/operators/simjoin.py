@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import GATE, casefold_trim, core_title, folded, normalize
+from folioforge.functions.text import GATE, casefold_trim, core_title, folded, normalize_distinct
 from folioforge.shipping import ship
 
 
@@ -15,7 +15,7 @@ def with_tokens(rows: DataFrame, title: str, prefix: str = "") -> DataFrame:
     t = rows.select(F.col(title).alias("__t")).where(F.col(title).isNotNull()).distinct()
     core = core_title(F.col("__t"))
     t = t.select(
-        "__t", folded(normalize("__t")).alias(f"{prefix}full"), folded(normalize(core)).alias(f"{prefix}core"),
+        "__t", folded(normalize_distinct("__t")).alias(f"{prefix}full"), folded(normalize_distinct(core)).alias(f"{prefix}core"),
         casefold_trim("__t").alias(f"{prefix}plain"), casefold_trim(core).alias(f"{prefix}core_plain"),
     )
     return rows.join(t, rows[title] == t["__t"], "left").drop("__t")
