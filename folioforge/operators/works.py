@@ -140,6 +140,6 @@ def leaves(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def uncovered(tops: DataFrame, read: DataFrame) -> DataFrame:
     """(author, total, covered, uncovered): records of a name in no answer that was given whole."""
-    per = read.groupBy("author").agg(F.sum("total").alias("covered"))
-    out = tops.join(per, "author", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    per = read.groupBy(F.col("author").alias("__author")).agg(F.sum("total").alias("covered"))
+    out = tops.join(per, F.col("author").eqNullSafe(F.col("__author")), "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return out.select("author", "total", "covered", F.greatest(F.lit(0), F.col("total") - F.col("covered")).alias("uncovered"))
