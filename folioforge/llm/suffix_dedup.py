@@ -14,7 +14,8 @@ anchors at equal places.  Consecutive windows with one anchor are a context.
    a plain aggregation, so copies by the million are pre-aggregated.
 3. One of each set of equal contexts meets the different contexts of its anchor, and
    their suffixes are sorted.  Of an anchor with over ``hot`` different contexts the
-   windows are counted by 128-bit digest, a plain aggregation again.
+   windows are counted by 128-bit digest, a plain aggregation again; those found once
+   name their contexts, and the others repeat.
 4. Spans go back to their documents; their union is removed.
 
 Defined results: null and empty texts have no bytes; texts below the length lose
@@ -257,16 +258,32 @@ def suffix_dedup(documents: DataFrame, length: int = 200, log2_bits: int = 27, p
     to_sort = C.written(to_sort.select("h", "c", "context", "different"), "to_sort")
 
     def windows(batch: pa.RecordBatch) -> Iterator[dict]:
-        for h, c, context in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for c, context in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             n = len(context) - length + 1
-            digests = [xxhash.xxh3_128_digest(context[k : k + length]) for k in range(n)]
-            yield {"h": np.repeat(h, n), "c": pa.array([c] * n, pa.binary()), "lo": np.arange(n, dtype=np.int32), "window": pa.array(digests, pa.binary())}
-
-    # Windows of crowded anchors are counted by digest: no task gathers the rows of one.
-    crowded = C.arrow_map(to_sort.where(F.col("different") > hot).select("h", "c", "context"), windows, "h long, c binary, lo int, window binary")
-    crowded = C.written(crowded.distinct(), "crowded_windows")
-    often = crowded.groupBy("h", "window").count().where("count > 1").select("h", "window")
-    counted = crowded.join(often, ["h", "window"], "left_semi").select("c", "lo", F.col("lo").alias("hi"))
+            # the last row is the context's own: minus its number of windows
+            digests = b"".join([*(xxhash.xxh3_128_digest(context[k : k + length]) for k in range(n)), c])
+            w, own = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2), np.frombuffer(c, ">i8").astype(np.int64)
+            lo = np.append(np.arange(n, dtype=np.int32), np.int32(-n))
+            yield {"own": lo < 0, "w1": w[:, 0], "w2": w[:, 1], "c1": np.repeat(own[0], n + 1), "c2": np.repeat(own[1], n + 1), "lo": lo}
+
+    def repeated(batch: pa.RecordBatch) -> Iterator[dict]:
+        c, lo, hi = [], [], []
+        for c1, c2, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            flags = np.zeros(-min(found) + 2, bool)
+            flags[1:-1] = True
+            flags[[x + 1 for x in found if x >= 0]] = False
+            for x, y in np.flatnonzero(flags[1:] != flags[:-1]).reshape(-1, 2).tolist():
+                c.append(np.array([c1, c2], ">i8").tobytes())
+                lo.append(x)
+                hi.append(y - 1)
+        yield {"c": pa.array(c, pa.binary()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())}
+
+    # Windows of crowded anchors are counted by digest: no task gathers the rows of one.  What is
+    # found once tells its context by itself, so a context's repeated windows are the others.
+    crowded = to_sort.where(F.col("different") > hot).select("c", "context").dropDuplicates(["c"])
+    each = C.arrow_map(crowded, windows, "own boolean, w1 long, w2 long, c1 long, c2 long, lo int")
+    once = each.groupBy("own", "w1", "w2").agg(F.count("*").alias("n"), *(F.min(x).alias(x) for x in ("c1", "c2", "lo"))).where("n = 1")
+    counted = C.arrow_map(once.groupBy("c1", "c2").agg(F.collect_list("lo").alias("found")), repeated, "c binary, lo int, hi int")
     placed = to_sort.where(F.col("different") <= hot).select("h", "c", "context").repartition("h").sortWithinPartitions("h", "c")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -169,6 +170,21 @@ def test_suffix_dedup(docs, length, hot):
     assert found == removal_oracle(rows(), length)
 
 
+def test_windows_of_near_copies_are_counted_without_a_join(spark, monkeypatch):
+    from folioforge.llm import common
+
+    plans, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    near = [(i, "".join(rng.choice("XYZ") if rng.random() < 0.004 else c for c in base)) for i in range(40)]
+    data = [*near, (40, near[0][1]), (41, base[:500]), (41, base[:500]), (42, None)]
+    got = suffix_dedup(spark.createDataFrame(data, "doc_id long, text string"), 200, log2_bits=16, hot=4).collect()
+    found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=repr)
+    assert found == removal_oracle(data)
+    assert any(0 < r[2] < r[1] for r in found) and not any("LeftSemi" in p for p in plans)
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup(empty, log2_bits=10).count() == 0
 
